@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import quoted, text_or_empty
 HEADER = b"LWREC\x00\x01\x00"
 MASK = 0xA282EAD8
 MANIFEST = "shard int, file string, n_records long, n_tokens long, n_bytes long"
-RECORD = "shard int, place long, doc_id long, start_in_shard long, n_tokens long, ids array<long>, ids_le binary"
+RECORD = "shard int, place long, doc_id long, start long, n_tokens long, ids array<long>, ids_le binary"
 _LENGTH, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
 
 
@@ -80,20 +81,16 @@ def file_system(path: str):
 class SpacelessEncoder:
     """Encodes with the tokenizers library, which drops white space here, and remembers what it made of each piece between spaces."""
 
-    def __init__(self, tokenizer_path: str, end_id: int, most: int = 400_000):
-        import numpy as np
+    def __init__(self, tokenizer_path: str, end_id: int, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        from .pieces import SpacelessPieces
+        from .pieces import LibraryParts, SpacelessPieces
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        kind = f"<u{self.width}"
-        encode = self.tokenizer.encode
-        self.pieces = SpacelessPieces(lambda s: np.array(encode(s, add_special_tokens=False).ids, kind).tobytes(), most)
-        self.end = np.array([end_id], kind).tobytes()
+        sizes = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
+        self.width = 2 if sizes <= 1 << 16 else 4
+        kind = "H" if self.width == 2 else "I"
+        self.pieces = SpacelessPieces(LibraryParts(tokenizer_path, lambda ids: array(kind, ids).tobytes(), most).ids, most)
+        self.end = array(kind, [end_id]).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.pieces.values(text)) + self.end
@@ -102,6 +99,13 @@ class SpacelessEncoder:
 _ENCODERS: dict = {}
 
 
+def spaceless_encoder(*key) -> SpacelessEncoder:
+    """The encoder of a tokenizer and end id, made once in each Python worker."""
+    if key not in _ENCODERS:
+        _ENCODERS[key] = SpacelessEncoder(*key)
+    return _ENCODERS[key]
+
+
 def write_token_records(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends ``end_id``, and writes the shards in ascending order of the id; returns the manifest."""
 
@@ -111,10 +115,7 @@ def write_token_records(docs: DataFrame, out_dir: str, tokenizer_path: str, end_
 
         task = TaskContext.get()
         shard, name = task.partitionId(), f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
-        key = (tokenizer_path, end_id)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = SpacelessEncoder(*key)
-        encoder, store, offsets, at, n_tokens = _ENCODERS[key], None, [], len(HEADER), 0
+        encoder, store, offsets, at, n_tokens = spaceless_encoder(tokenizer_path, end_id), None, [], len(HEADER), 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part, framed = batch.slice(start, 256), []
@@ -155,14 +156,14 @@ def read_token_records(spark: SparkSession, out_dir: str, with_ids: bool = True)
         import numpy as np
 
         for batch in batches:
-            for shard, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for shard, name, before in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 store, folder = file_system(out_dir)
                 with store.open_input_stream(f"{folder}/{name}.idx") as f:
                     offsets = np.frombuffer(f.read(), "<u8").tolist()
                 with store.open_input_file(f"{folder}/{name}.rec") as f:
                     if f.read(len(HEADER)) != HEADER:
                         raise ValueError(f"{name} is no file of records")
-                    before, size = 0, f.size()
+                    size = f.size()
                     for start in range(0, len(offsets), 256):
                         part = offsets[start : start + 256]
                         f.seek(part[0])
@@ -174,11 +175,10 @@ def read_token_records(spark: SparkSession, out_dir: str, with_ids: bool = True)
                         ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([x for _, x in found]).astype(np.int64))) if with_ids else pa.nulls(len(part), pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([shard] * len(part), pa.int32()), pa.array(range(start, start + len(part)), pa.int64()), pa.array([d for d, _ in found], pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), ids, pa.array([x.tobytes() for _, x in found], pa.binary())],
-                            ["shard", "place", "doc_id", "start_in_shard", "n_tokens", "ids", "ids_le"],
+                            ["shard", "place", "doc_id", "start", "n_tokens", "ids", "ids_le"],
                         )
 
-    manifest = read_manifest(spark, out_dir)
     # One row per shard: the window sees the manifest alone.
-    base = manifest.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
-    records = manifest.select("shard", "file").repartition("shard").mapInArrow(run, RECORD)
-    return records.join(base, "shard").withColumn("start", F.coalesce("base", F.lit(0)) + F.col("start_in_shard")).drop("base", "start_in_shard")
+    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    shards = read_manifest(spark, out_dir).select("shard", "file", F.coalesce(before, F.lit(0)).alias("before"))
+    return shards.repartition("shard").mapInArrow(run, RECORD)

@@ -70,6 +70,14 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: The ASCII letters whose case is folded where only A-Z may change.
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -78,3 +86,23 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(quoted(id_column)).cast("string"), F.lit("")), "UTF-8")) % modulus
+
+
+#: Parameter: keys that take no more bytes than this are broadcast, others are shuffled.
+KEY_BROADCAST_BYTES = 32 << 20
+
+
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text_col)))
+
+
+def by_keys(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text digest are (``left_semi``) or are not (``left_anti``) among ``keys`` (``doc_id, digest``, checkpointed).
+
+    The size of the keys is measured: small ones are broadcast, so the texts are not shuffled.
+    """
+    key, digest = fresh("_key_id", docs.columns), fresh("_key_digest", docs.columns)
+    keys = keys.select(F.col("doc_id").alias(key), F.col("digest").alias(digest))
+    if keys.count() * 48 <= KEY_BROADCAST_BYTES:
+        keys = F.broadcast(keys)
+    return docs.join(keys, F.col(quoted(id_col)).eqNullSafe(F.col(key)) & (text_digest(text_col) == F.col(digest)), how)

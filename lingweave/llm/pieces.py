@@ -81,3 +81,56 @@ class SpacelessPieces:
 
     def values(self, text: str) -> list[Any]:
         return [*map(self.found.__getitem__, text.replace("\n", " ").split(" "))]
+
+
+#: Up to here the character classes of the pattern modules agree (they follow other versions of Unicode); beyond, the library splits by itself.
+LATEST_AGREED = "\u0500"
+#: Up to here characters are their own NFC form and fold to lower case alike everywhere.
+LATEST_PLAIN = "\u024f"
+
+
+class LibraryParts:
+    """Encodes stretches of text with the model of a tokenizers file, part by part.
+
+    The library's own normaliser and model do the work; the split into parts follows the file's pattern, and each part's ids are remembered (packed by
+    ``pack``), so that ``word,`` and ``word.`` cost one call of the model.  A stretch with a special string in it goes through the library as a whole.
+    """
+
+    def __init__(self, path: str, pack: Callable[[list[int]], bytes], most: int = 300_000):
+        import json
+
+        import regex
+        from tokenizers import Tokenizer
+
+        from .bpe import PRETOKENS, byte_alphabet
+
+        self.pack = pack
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        patterns = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"] or [PRETOKENS]
+        if steps[-1]["type"] != "ByteLevel" or steps[-1]["add_prefix_space"] or len(patterns) != 1:
+            raise ValueError("a byte-level tokenizer with one pattern and without prefix space is asked for")
+        self.findall = regex.compile(patterns[0]).findall
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        forms = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"]] if spec["normalizer"] else [])]
+        # White space within a stretch is left to the pattern, which must drop it if the normaliser changes it.
+        self.folds, self.normalise = "Lowercase" in forms, self.tokenizer.normalizer.normalize_str if forms else None
+        printed, tokenize = {b: c for c, b in byte_alphabet().items()}, self.tokenizer.model.tokenize
+
+        def part(text: str) -> bytes:
+            return pack([t.id for t in tokenize(text if text.isalnum() and text.isascii() else text.encode().decode("latin-1").translate(printed))])
+
+        self.parts = Memory(part, most)
+
+    def ids(self, stretch: str) -> bytes:
+        last = max(stretch, default="")
+        if last > LATEST_AGREED or any(s in stretch for s in self.specials):
+            return self.pack(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+        if self.normalise:
+            stretch = stretch.lower() if self.folds and last <= LATEST_PLAIN else self.normalise(stretch)
+        found = [*map(self.parts.__getitem__, self.findall(stretch))]
+        return found[0] if len(found) == 1 else b"".join(found)

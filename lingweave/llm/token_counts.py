@@ -29,26 +29,26 @@ def tokenizer_version(tokenizer_path: str) -> bytes:
 
 
 def _counter(tokenizer_path: str):
-    from tokenizers import Tokenizer
+    from .pieces import LibraryParts, SpaceLedPieces
 
-    from .pieces import SpaceLedPieces
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    pieces = SpaceLedPieces(lambda s: len(tokenizer.encode(s, add_special_tokens=False).ids), specials=specials)
+    library = LibraryParts(tokenizer_path, lambda ids: bytes(len(ids)))
+    pieces = SpaceLedPieces(lambda s: len(library.ids(s)), specials=library.specials)
     return lambda text: sum(pieces.values(text))
 
 
 _COUNTERS: dict = {}
 
 
+def counter(tokenizer_path: str):
+    """A function that counts a text's tokens, made once in each Python worker."""
+    if tokenizer_path not in _COUNTERS:
+        _COUNTERS[tokenizer_path] = _counter(tokenizer_path)
+    return _COUNTERS[tokenizer_path]
+
+
 def _encode_misses(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _COUNTERS:
-            _COUNTERS[tokenizer_path] = _counter(tokenizer_path)
-        count = _COUNTERS[tokenizer_path]
+        count = counter(tokenizer_path)
         for batch in batches:
             counts = pa.array([count(x) for x in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], ["digest", "n_tokens"])
