@@ -132,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op10_jaccard_join": r"""
         with recursive docs as (
-            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
         ), shingles as (
             select distinct doc_id, array_to_string(w[s : s + 3], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as s from docs where len(w) > 0)
         ), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
