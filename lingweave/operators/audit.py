@@ -21,8 +21,9 @@ HEADER = (
 )
 
 
-def line_size(row_id: Column = F.col("row_index")) -> Column:
-    return F.length(X.prompt_line(row_id, F.col("pl"), F.col("en")))
+def line_size() -> Column:
+    """Characters of a prompt line that carries the row's own id."""
+    return F.length(X.prompt_line(F.col("row_index"), F.col("pl"), F.col("en")))
 
 
 def batches(records: DataFrame, max_chars: int, max_rows: int) -> DataFrame:
