@@ -2,12 +2,15 @@
 
 Two documents link when their sets of word shingles have a Jaccard similarity of at least ``NUMERATOR / DENOMINATOR``.  All sets are sorted by one global order, rare
 shingles first; two sets that link then share a shingle among their prefixes.  Documents with equal sets are one set; sets with equal prefixes and size are one
-group.  Groups post their prefixes; groups that meet in a posting list are filtered by size and by the places where they meet, then expanded to their sets, which are
-verified in full.
+group.  Groups post their prefixes; groups that meet in a posting list are filtered by size, by the places where they meet and by a bound on the difference of their sets,
+then expanded to their sets, which are verified in full.
 
-Not every pair of a posting list is expanded.  First each list is verified against its smallest member alone, and each group against one of its sets: this already
-joins the members of large groups of near copies.  Then every pair that meets, passes the filters and does not yet share a component is expanded and verified.  A link within a
-component found already changes no component, so nothing is lost.
+Not every pair of a posting list is expanded.  First each member is verified against the smallest and the few before it in its list, and each set against one of its
+group: this already joins large groups of near copies.  Then the pairs that meet, pass the filters and do not yet share a component are expanded and verified.  A link within
+a component found already changes no component, so nothing is lost.
+
+The bound is a parity: for each of some bins whether an odd number of a set's hashes fall in it.  Where the bins of two sets differ, at least one element lies in one
+set alone, and linked sets may differ by a set share of their sizes at most.
 
 The global order is by counts of hashed shingles in a sketch of fixed size over all documents, then by hash.  Any total order gives exact results; counts keep
 frequent shingles out of prefixes.  Lists of shingles that the sketch knows to be frequent are dealt out by salt.
@@ -30,9 +33,11 @@ from pyspark.sql import types as T
 from .common import by_keys, checkpointed, fresh, quoted, stored, text_digest, text_or_empty
 
 #: Parameters: words of a shingle; similarity as a fraction; bits of the sketch and of a chunk of it; bytes of ids that may be broadcast.
-WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 21, 16, 32 << 20
+WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 23, 16, 32 << 20
 #: A shingle's weight is 1024 times the binary logarithm of its count; from HOT on its posting list is salted.
 HOT = 12 * 1024
+#: Parameters: 64-bit words of the parity that travels with postings; members of a list that each member is verified against first, besides the smallest.
+PARITY_WORDS, NEIGHBOURS = 4, 3
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -55,12 +60,12 @@ def sketch_counts(texts: DataFrame, size: int) -> np.ndarray:
     """Weights of hashed shingles by the leading bits of the hash, from counts over all texts (one column)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 found = [shingles(t, size) for t in batch.column(0).slice(start, 512).to_pylist()]
                 at, n = np.unique(np.concatenate(found) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                total[at.astype(np.int64)] += n
+                total[at.astype(np.int64)] += n.astype(np.int32)
         at = np.flatnonzero(total)
         chunk, n = at >> CHUNK_BITS, total[at]
         cuts = np.searchsorted(chunk, np.arange((1 << SKETCH_BITS - CHUNK_BITS) + 1))
@@ -89,8 +94,32 @@ def _needed(n: int, numerator: int, denominator: int) -> int:
     return -(-numerator * n // denominator)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """For each of a power of two of bins, at least as many as hashes, whether it holds an odd number of them.
+
+    Where two sets' bins differ, at least one element lies in one set alone, so the number of such bins is a lower bound of their symmetric difference.
+    """
+    bins = 1 << max(6 + (PARITY_WORDS - 1).bit_length(), (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    odd = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """The lower bound from two parities; the longer one is folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    short = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def parity_words(whole: bytes) -> list[int]:
+    """A parity folded to ``PARITY_WORDS`` numbers."""
+    x = np.frombuffer(whole, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, 8 * PARITY_WORDS), axis=0).view(np.int64).tolist()
+
+
 def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """``doc_id, digest`` (of the text), ``n, sig`` (digest of the set), ``psig`` (digest of size and prefix), ``prefix`` for each document, as a stored table."""
+    """``doc_id, digest`` (of the text), ``n, sig`` (digest of the set), ``psig`` (digest of size and prefix), ``parity, folded`` (its words), ``prefix`` for each document, as a stored table."""
     weights = docs.sparkSession.sparkContext.broadcast(sketch_counts(docs.select("content"), size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +127,7 @@ def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) ->
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                sizes, sigs, psigs, prefixes = [], [], [], []
+                sizes, sigs, psigs, parities, words, prefixes = [], [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     h = shingles(text, size)
                     n = len(h)
@@ -108,11 +137,13 @@ def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) ->
                     sizes.append(n)
                     sigs.append(hashlib.md5(h.tobytes()).digest())
                     psigs.append(hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).digest())
+                    parities.append(parity(h))
+                    words.append(parity_words(parities[-1]))
                     prefixes.append(prefix.view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(psigs, pa.binary()), lists], ["doc_id", "digest", "n", "sig", "psig", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(psigs, pa.binary()), pa.array(parities, pa.binary()), pa.array(words, pa.list_(pa.int64())), lists], ["doc_id", "digest", "n", "sig", "psig", "parity", "folded", "prefix"])
 
-    schema = docs.select("doc_id").schema.add("digest", "binary").add("n", "long").add("sig", "binary").add("psig", "binary").add("prefix", T.ArrayType(T.LongType()))
+    schema = docs.select("doc_id").schema.add("digest", "binary").add("n", "long").add("sig", "binary").add("psig", "binary").add("parity", "binary").add("folded", T.ArrayType(T.LongType())).add("prefix", T.ArrayType(T.LongType()))
     return stored(docs.select("doc_id", text_digest("content").alias("digest"), "content").mapInArrow(run, schema), "signatures")
 
 
@@ -127,8 +158,22 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, numerator: int, de
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs ``a, b`` of set ids that link: the texts of one document for each set are read again and compared in full."""
-    some = checkpointed(pairs)
+    """The pairs ``a, b`` of set ids that link.
+
+    Parities, a bit for each element, first rule out pairs whose symmetric difference is too large.  For the others the texts of one document for each set are read again and
+    compared in full.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
+            # The difference of linked sets is at most (denominator - numerator) / (denominator + numerator) of the sum of their sizes.
+            rest = [i for i in range(len(a)) if least_difference(x[i], y[i]) * (denominator + numerator) <= (n[i] + m[i]) * (denominator - numerator)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in rest], pa.int64()), "b": pa.array([b[i] for i in rest], pa.int64())})
+
+    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
+    other = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    some = checkpointed(pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(near, "a long, b long"))
     wanted = some.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "sig", "doc"), "sid").select("sid", "sig", "doc")
     wanted = checkpointed(wanted)
     ids = wanted.select("doc").distinct()
@@ -187,42 +232,49 @@ def similarity_components(documents: DataFrame, id_col: str = "doc_id", text_col
     signed = signatures(docs, size, numerator, denominator)
     full = signed.where("n > 0")
 
-    # Groups of equal size and prefix, and the sets in them; their ids are dealt once and stored.
-    groups = stored(full.groupBy("psig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("gid", F.monotonically_increasing_id()), "groups")
-    distinct = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("psig").alias("psig"), F.min("doc_id").alias("doc"))
-    sets = stored(distinct.join(groups.select("psig", "gid"), "psig").select(F.monotonically_increasing_id().alias("sid"), "sig", "n", "gid", "doc"), "sets")
+    # Groups of equal size and prefix; a group's id is half of its digest: should two groups share it, their sets are verified as those of one.
+    gid = F.conv(F.substr(F.hex("psig"), F.lit(1), F.lit(16)), 16, -10).cast("long")
+    groups = full.groupBy("psig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select(gid.alias("gid"), F.col("n").cast("int").alias("n"), "prefix")
+    distinct = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("psig").alias("psig"), F.first("parity").alias("parity"), F.first("folded").alias("folded"), F.min("doc_id").alias("doc"))
+    sets = stored(distinct.select(F.monotonically_increasing_id().alias("sid"), "sig", "n", gid.alias("gid"), "parity", "folded", "doc"), "sets")
 
     # Postings of the prefixes; only lists of two and more go on.
+    may = lambda n1, p1, n2, p2: _may_link(n1, p1, n2, p2, numerator, denominator)
     posted = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
     weight = F.shiftrightunsigned("token", 48)
     salt = F.when(weight >= HOT, F.pmod(F.xxhash64("gid"), F.pow(F.lit(2.0), F.floor((weight - HOT) / 1024) + 1).cast("long"))).otherwise(F.lit(0))
     lists = Window.partitionBy("token", "salt").orderBy("n", "gid")
-    posted = posted.select("token", salt.cast("int").alias("salt"), F.col("n").cast("int").alias("n"), F.col("place").alias("place"), "gid")
-    first = lambda c: F.first(c).over(lists)
-    placed = posted.select("*", first("gid").alias("gid1"), first("n").alias("n1"), first("place").alias("place1"), F.lead("gid").over(lists).alias("next"))
-    met = stored(placed.where((F.col("gid") != F.col("gid1")) | F.col("next").isNotNull() | (weight >= HOT)).drop("next", "salt"), "postings")
-
-    # First the stars: each list around its smallest group, each group around one of its sets.
-    may = lambda n1, p1, n2, p2: _may_link(F.col(n1), F.col(p1), F.col(n2), F.col(p2), numerator, denominator)
+    posted = posted.select("token", salt.cast("int").alias("salt"), "n", "place", "gid")
+    member = F.struct("gid", "n", "place")
+    placed = posted.select("*", F.first(member).over(lists).alias("p0"), *[F.lag(member, i).over(lists).alias(f"p{i}") for i in range(1, NEIGHBOURS + 1)], F.lead("gid").over(lists).alias("next"))
+    beside = F.filter(F.array(*[f"p{i}" for i in range(NEIGHBOURS + 1)]), lambda p: p.isNotNull() & (p["gid"] != F.col("gid")) & may(p["n"], p["place"], F.col("n"), F.col("place")))
+    alive = placed.where((F.col("gid") != F.col("p0.gid")) | F.col("next").isNotNull() | (weight >= HOT))
+    met = stored(alive.select("token", "n", "place", "gid", F.array_distinct(F.transform(beside, lambda p: p["gid"])).alias("beside")), "postings")
+
+    # First each member beside its neighbours in the list, and each group around one of its sets.
     centre = checkpointed(sets.groupBy("gid").agg(F.min("sid").alias("centre"), F.count("*").alias("members")))
     c1, c2 = (centre.select(F.col("gid").alias(g), F.col("centre").alias(s)) for g, s in (("gid1", "a"), ("gid", "b")))
-    across = met.where((F.col("gid") != F.col("gid1")) & may("n1", "place1", "n", "place")).select("gid1", "gid").distinct().join(c1, "gid1").join(c2, "gid").select("a", "b")
+    next_to = met.select("gid", F.explode("beside").alias("gid1")).select(F.least("gid", "gid1").alias("gid"), F.greatest("gid", "gid1").alias("gid1")).distinct()
+    across = next_to.join(c1, "gid1").join(c2, "gid").select("a", "b")
     inside = sets.join(centre.where("members > 1"), "gid").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
     stars = verified(across.union(inside).distinct(), sets, docs, size, numerator, denominator)
     labels = components(stars)
 
-    # Then all pairs that meet and are still apart.
-    labelled = checkpointed(_with_labels(sets.select("sid", "gid"), labels))
-    span = checkpointed(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")))
-    sides = met.select("token", "gid", "n", "place").join(span.select("gid", "low", "high"), "gid")
-    names = ("gid", "n", "place", "low", "high")
+    # Then all pairs that meet and are still apart.  A group of several sets has no parity to be ruled out by.
+    labelled = checkpointed(_with_labels(sets.select("sid", "gid", "folded"), labels))
+    span = checkpointed(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.when(F.count("*") == 1, F.first("folded")).alias("folded")))
+    words = [F.get("folded", F.lit(i)).alias(f"w{i}") for i in range(PARITY_WORDS)]
+    sides = met.select("token", "gid", "n", "place").join(span.select("gid", "low", "high", *words), "gid")
+    names = ("gid", "n", "place", "low", "high", *[f"w{i}" for i in range(PARITY_WORDS)])
     x, y = (sides.select("token", *[F.col(n).alias(f"{n}_{s}") for n in names]) for s in ("x", "y"))
     apart = ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
-    meet = x.join(y, (x["token"] == y["token"]) & (F.col("gid_x") < F.col("gid_y")) & apart & may("n_x", "place_x", "n_y", "place_y"))
+    differ = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(PARITY_WORDS)), F.lit(0))
+    bound = F.coalesce(differ * (denominator + numerator) <= (F.col("n_x") + F.col("n_y")) * (denominator - numerator), F.lit(True))
+    meet = x.join(y, (x["token"] == y["token"]) & (F.col("gid_x") < F.col("gid_y")) & apart & may(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y")) & bound)
     meet = meet.select("gid_x", "gid_y").distinct()
     sx, sy = (labelled.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(i), F.col("label").alias(f"label_{s}")) for s, i in (("x", "a"), ("y", "b")))
     members = meet.join(sx, "gid_x").join(sy, "gid_y").where("label_x <> label_y").select("a", "b")
-    split = labelled.join(span.where("low <> high").select("gid"), "gid", "left_semi")
+    split = labelled.drop("folded").join(span.where("low <> high").select("gid"), "gid", "left_semi")
     p, q = (split.select(F.col("gid").alias(f"g{s}"), F.col("sid").alias(s), F.col("label").alias(f"l{s}")) for s in ("a", "b"))
     own = p.join(q, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
     rest = verified(members.union(own).distinct(), sets, docs, size, numerator, denominator)
