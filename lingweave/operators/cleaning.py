@@ -100,7 +100,9 @@ def preaudit(rows: DataFrame, config: PreauditConfig = PreauditConfig()) -> Data
     """
     prepared = rows.select("split", "row_index", "present", *[F.coalesce(c, F.lit("None")).alias(c) for c in ("pl", "en")])
     bracket = X.drop_bracketed if config.remove_square_bracket_content else (lambda c: c)
-    clean = _sized(prepared.withColumns({c: X.sanitise(bracket(F.col(c))) for c in ("pl", "en")}))
+    # Both texts pass one chain of patterns as an array: written out for each, the chain outgrows a generated method.
+    both = prepared.withColumn("_both", F.transform(F.array("pl", "en"), lambda c: X.sanitise(bracket(c))))
+    clean = _sized(both.withColumns({"pl": F.get("_both", F.lit(0)), "en": F.get("_both", F.lit(1))}))
     rule = F.when(~F.col("present"), "null_pair").when((F.col("pl") == "") | (F.col("en") == ""), "empty_pair")
     for name, predicate in _content_reasons(config):
         rule = rule.when(predicate, name)
