@@ -24,18 +24,21 @@ from pyspark.sql import functions as F
 from .common import fresh, quoted, remainder, text_or_empty
 from .pieces import Memory
 
-#: Parameters: texts of either label to learn from at most; bits of a feature; FTRL's alpha, beta, L1 and L2; passes.
-SAMPLE, BITS, ALPHA, BETA, L1, L2, PASSES = 8_000, 20, 0.15, 1.0, 1.0, 0.1, 4
+#: Parameters: texts of either label to learn from at most; texts of the sample that a feature must occur in; FTRL's alpha, beta, L1 and L2; passes.
+SAMPLE, MIN_TEXTS, ALPHA, BETA, L1, L2, PASSES = 8_000, 3, 0.15, 1.0, 4.0, 0.1, 4
 THRESHOLD = 0.3
+#: Parameters: bits of the hashes of words, of their beginnings and of pairs; each kind of feature has a range of its own, so that the many pairs of a long text do not fall on words.
+WORD_BITS, FIVE_BITS, FOUR_BITS, PAIR_BITS = 22, 21, 20, 23
+FIVE_AT, FOUR_AT, PAIR_AT, SIZE = 1 << 22, (1 << 22) + (1 << 21), 1 << 23, 1 << 24
 
 
 def _word(piece: str) -> int:
-    """Hashes of the word and of its two beginnings, side by side in one number; 0 if nothing in the piece is a letter or digit."""
+    """Hashes of the word and of its two beginnings, side by side in one number; -1 if nothing in the piece is a letter or digit."""
     word = "".join(c for c in piece.lower() if c.isalnum())
     if not word:
-        return 0
-    h = lambda s: zlib.crc32(s.encode()) >> 32 - BITS
-    return 1 << 3 * BITS | h("w" + word) << 2 * BITS | h("4" + word[:4]) << BITS | h("5" + word[:5])
+        return -1
+    h = lambda s, bits: zlib.crc32(s.encode()) >> 32 - bits
+    return h("w" + word, WORD_BITS) << FIVE_BITS + FOUR_BITS | h("5" + word[:5], FIVE_BITS) << FOUR_BITS | h("4" + word[:4], FOUR_BITS)
 
 
 _WORDS = Memory(_word, 300_000)
@@ -44,16 +47,20 @@ _WORDS = Memory(_word, 300_000)
 def feature_indices(text: str) -> np.ndarray:
     """The hashed features of a whole text, with repeats."""
     words = np.fromiter(map(_WORDS.__getitem__, text.split()), np.int64)
-    words = words[words != 0]
-    mask = (1 << BITS) - 1
-    word, four, five = words >> 2 * BITS & mask, words >> BITS & mask, words & mask
-    mix = lambda a, b, k: ((a * 0x9E3779B1 + b * 0x85EBCA77 + k) * 0xC2B2AE3D >> 11) & mask
-    return np.concatenate([word, four, five, mix(word[:-1], word[1:], 1), mix(word[:-2], word[2:], 2)])
+    words = words[words >= 0]
+    word, five, four = words >> FIVE_BITS + FOUR_BITS, words >> FOUR_BITS & (1 << FIVE_BITS) - 1, words & (1 << FOUR_BITS) - 1
+    mix = lambda a, b, k: (a * 0x9E3779B1 + b * 0x85EBCA77 + k) * 0xC2B2AE3D >> 13 & (1 << PAIR_BITS) - 1
+    return np.concatenate([word, FIVE_AT + five, FOUR_AT + four, PAIR_AT + mix(word[:-1], word[1:], 1), PAIR_AT + mix(word[:-2], word[2:], 2)])
 
 
 def train_ftrl(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (distinct feature indices, label); the indices with weights that are not zero, the weights, the intercept."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    seen = np.zeros(SIZE, np.uint8)
+    for at, _ in examples:
+        seen[at] += seen[at] < MIN_TEXTS
+    used = np.flatnonzero(seen >= MIN_TEXTS)
+    examples = [(np.searchsorted(used, at[seen[at] >= MIN_TEXTS]), label) for at, label in examples]
+    z, n = np.zeros(len(used)), np.zeros(len(used))
     bias_z = bias_n = 0.0
 
     def weights(at):
@@ -70,27 +77,27 @@ def train_ftrl(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.n
             bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / ALPHA * bias
             bias_n += g * g
     at = np.flatnonzero(np.abs(z) > L1)
-    return at, weights(at), -bias_z / ((BETA + bias_n**0.5) / ALPHA)
+    return used[at], weights(at), -bias_z / ((BETA + bias_n**0.5) / ALPHA)
 
 
 class Model:
-    """Sparse weights by feature index, and the intercept (None: nothing was learned)."""
+    """Sparse weights by feature index (ascending), and the intercept (None: nothing was learned)."""
 
     def __init__(self, at: np.ndarray, weights: np.ndarray, intercept: float | None):
-        self.at, self.weights, self.intercept, self.table = np.asarray(at, np.int32), np.asarray(weights, np.float32), intercept, None
+        self.at, self.weights, self.intercept, self.known = np.asarray(at, np.int64), np.asarray(weights, np.float64), intercept, None
 
     def __getstate__(self):
-        return self.__dict__ | {"table": None}
+        return self.__dict__ | {"known": None}
 
     def score(self, text: str) -> float:
         if self.intercept is None:
             return 0.0
-        if self.table is None:
-            self.table = np.zeros(1 << BITS, np.float32)
-            self.table[self.at] = self.weights
+        if self.known is None:
+            self.known = np.zeros(SIZE, bool)
+            self.known[self.at] = True
         at = feature_indices(text)
-        at = np.unique(at[self.table[at] != 0])
-        return float(1 / (1 + np.exp(-np.clip(self.table[at].sum(dtype=np.float64) + self.intercept, -30, 30))))
+        at = np.unique(at[self.known[at]])
+        return float(1 / (1 + np.exp(-np.clip(self.weights[np.searchsorted(self.at, at)].sum() + self.intercept, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -117,11 +124,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
         yield pa.RecordBatch.from_pydict({"at": pa.array([-1, *at], pa.int32()), "weight": pa.array([intercept + shift, *weights], pa.float64())})
 
     texts = docs.where(key.isNotNull()).select(key.alias("id"), text_or_empty(text_col).alias("content")).join(F.broadcast(chosen), "id")
-    examples = texts.select(least.alias("place"), "label", "content").mapInArrow(featured, "place long, label int, at binary")
+    # The order of learning is by another hash than the choice, or labels would come in runs.
+    examples = texts.select(F.xxhash64("id", F.lit("order")).alias("place"), "label", "content").mapInArrow(featured, "place long, label int, at binary")
     # One task learns, from the bounded sample, in an order that does not depend on the partitions.
     rows = examples.repartition(1).sortWithinPartitions("place", "at").mapInArrow(train, "at int, weight double").toPandas()
     bias = rows[rows["at"] < 0]
-    rest = rows[rows["at"] >= 0]
+    rest = rows[rows["at"] >= 0].sort_values("at")
     return Model(rest["at"].to_numpy(), rest["weight"].to_numpy(), float(bias["weight"].iloc[0]) if len(bias) else None)
 
 
