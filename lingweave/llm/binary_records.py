@@ -81,7 +81,7 @@ def file_system(path: str):
 class SpacelessEncoder:
     """Encodes with the tokenizers library, which drops white space here, and remembers what it made of each piece between spaces."""
 
-    def __init__(self, tokenizer_path: str, end_id: int, most: int = 300_000):
+    def __init__(self, tokenizer_path: str, end_id: int, most: int = 500_000):
         from tokenizers import Tokenizer
 
         from .pieces import LibraryParts, SpacelessPieces
@@ -180,5 +180,7 @@ def read_token_records(spark: SparkSession, out_dir: str, with_ids: bool = True)
 
     # One row per shard: the window sees the manifest alone.
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    shards = read_manifest(spark, out_dir).select("shard", "file", F.coalesce(before, F.lit(0)).alias("before"))
-    return shards.repartition("shard").mapInArrow(run, RECORD)
+    manifest = read_manifest(spark, out_dir)
+    shards = manifest.select("shard", "file", F.coalesce(before, F.lit(0)).alias("before"))
+    # A task for each shard: the rows are few and small, so left alone they would be read by one.
+    return shards.repartition(max(1, manifest.count()), "shard").mapInArrow(run, RECORD)
