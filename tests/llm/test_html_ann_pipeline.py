@@ -100,7 +100,7 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     extra = spark.createDataFrame([(10**6, "12 34 !!", "en", "s", 1), (10**6 + 1, None, "en", "s", 1), (10**6 + 2, "", None, None, None)], docs.schema)
     at = docs.union(extra)
-    toxic = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").collect()}
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     for name, stage in pipeline.STAGES:
         before = {r.doc_id for r in at.select("doc_id").collect()}
         out = stage(spark, at, d)
@@ -111,7 +111,8 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         if name == "language_id":
             assert before - kept == {10**6, 10**6 + 1, 10**6 + 2}
         elif name == "toxicity":
-            assert len((before - kept) - toxic) <= 0.02 * len(before)
+            clean, toxic = ({i for i in before if known.get(i) == v} for v in (0, 1))
+            assert len(clean - kept) <= 0.02 * len(clean) and len(toxic - kept) >= 0.7 * len(toxic)
         elif name == "jaccard_join":
             from lingweave.llm.jaccard_join import similarity_components
 
