@@ -45,26 +45,26 @@ def paths(messages: DataFrame, top_k: int | None = 1) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     jump = nodes.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    # The node one step up (null above the root), the sum of scores of the nodes passed, the number of those.
-    jump = checkpointed(jump.select("tree", "node", F.col("n").alias("up"), "score", F.lit(1).cast("long").alias("size")))
+    # The node one step up (null above the root) and the sum of scores of the nodes passed.
+    jump = checkpointed(jump.select("tree", "node", F.col("n").alias("up"), "score"))
     largest = jump.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jumps, length = [jump], 1
-    while length < largest:
-        a, b = jump, jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("size").alias("size2"))
-        joined = a.join(b, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
-        jump = checkpointed(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("size") + F.coalesce("size2", F.lit(0))).alias("size")))
-        jumps.append(jump)
-        length *= 2
-        if jump.where("up is not null").isEmpty():
-            break
-    parents = jumps[0].where("up is not null").select("tree", F.col("up").alias("node"))
-    leaves = jump.where("up is null").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score")
+    # Only nodes whose jump has not yet passed the root go on; on a cycle that never happens, and the length ends it.
+    going, arrived, length = jump.where("up is not null"), jump.where("up is null"), 1
+    jumps = [going]
+    while length < largest and not going.isEmpty():
+        at = going.union(arrived).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"))
+        joined = going.join(at, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        longer = checkpointed(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score")))
+        going, arrived, length = longer.where("up is not null"), arrived.union(longer.where("up is null")), 2 * length
+        jumps.append(going)
+    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
+    leaves = arrived.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if top_k is not None:
         ranked = ranked.where(F.col("rank") <= top_k)
     found = ranked.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps))):
-        step = jumps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"))
+        step = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"))
         higher = found.join(step, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
         found = checkpointed(found.union(higher))
     return found
