@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import path_exists, quoted, scratch_path, text_or_empty
+from .common import path_exists, quoted, scratch_path, stored, text_or_empty
 
 CACHE_SCHEMA = "digest binary, version binary, n_tokens long"
 
@@ -82,6 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     fresh = todo.mapInArrow(_encode_misses(tokenizer_path), "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
 
-    counts = read_cache(spark, cache_path, version)
+    # Stored first: the join then reads the counts as they are, and a digest that very many rows share can be split among tasks.
+    counts = stored(read_cache(spark, cache_path, version), "counts")
     sized = keyed.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
     return sized.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
