@@ -5,8 +5,8 @@ shingles first; two sets that link then share a shingle among their prefixes.  D
 group.  Groups post their prefixes; groups that meet in a posting list are filtered by size, by the places where they meet and by a bound on the difference of their sets,
 then expanded to their sets, which are verified in full.
 
-Not every pair of a posting list is expanded.  First each member is verified against the smallest and the few before it in its list, and each set against one of its
-group: this already joins large groups of near copies.  Then the pairs that meet, pass the filters and do not yet share a component are expanded and verified.  A link within
+Not every pair of a posting list is expanded.  First each member is verified against the one before it in its list, in an order that differs from list to list, and each set
+against one of its group: this already joins large groups of near copies.  Then the pairs that meet, pass the filters and do not yet share a component are expanded and verified.  A link within
 a component found already changes no component, so nothing is lost.
 
 The bound is a parity: for each of some bins whether an odd number of a set's hashes fall in it.  Where the bins of two sets differ, at least one element lies in one
@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_keys, checkpointed, fresh, quoted, stored, text_digest, text_or_empty
+from .pieces import hold
 
 #: Parameters: words of a shingle; similarity as a fraction; bits of the sketch and of a chunk of it; bytes of ids that may be broadcast.
-WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 23, 16, 32 << 20
+WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 21, 16, 32 << 20
 #: A shingle's weight is 1024 times the binary logarithm of its count; from HOT on its posting list is salted.
 HOT = 12 * 1024
-#: Parameters: 64-bit words of the parity that travels with postings; members of a list that each member is verified against first, besides the smallest.
-PARITY_WORDS, NEIGHBOURS = 4, 3
+#: Parameter: 64-bit words of the parity that travels with postings.
+PARITY_WORDS = 4
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -60,6 +61,7 @@ def sketch_counts(texts: DataFrame, size: int) -> np.ndarray:
     """Weights of hashed shingles by the leading bits of the hash, from counts over all texts (one column)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard join")
         total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -123,6 +125,7 @@ def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) ->
     weights = docs.sparkSession.sparkContext.broadcast(sketch_counts(docs.select("content"), size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard join")
         weight = weights.value
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
@@ -243,33 +246,31 @@ def similarity_components(documents: DataFrame, id_col: str = "doc_id", text_col
     posted = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
     weight = F.shiftrightunsigned("token", 48)
     salt = F.when(weight >= HOT, F.pmod(F.xxhash64("gid"), F.pow(F.lit(2.0), F.floor((weight - HOT) / 1024) + 1).cast("long"))).otherwise(F.lit(0))
-    lists = Window.partitionBy("token", "salt").orderBy("n", "gid")
+    lists = Window.partitionBy("token", "salt").orderBy(F.xxhash64("gid", "token"), "gid")
     posted = posted.select("token", salt.cast("int").alias("salt"), "n", "place", "gid")
-    member = F.struct("gid", "n", "place")
-    placed = posted.select("*", F.first(member).over(lists).alias("p0"), *[F.lag(member, i).over(lists).alias(f"p{i}") for i in range(1, NEIGHBOURS + 1)], F.lead("gid").over(lists).alias("next"))
-    beside = F.filter(F.array(*[f"p{i}" for i in range(NEIGHBOURS + 1)]), lambda p: p.isNotNull() & (p["gid"] != F.col("gid")) & may(p["n"], p["place"], F.col("n"), F.col("place")))
-    alive = placed.where((F.col("gid") != F.col("p0.gid")) | F.col("next").isNotNull() | (weight >= HOT))
-    met = stored(alive.select("token", "n", "place", "gid", F.array_distinct(F.transform(beside, lambda p: p["gid"])).alias("beside")), "postings")
-
-    # First each member beside its neighbours in the list, and each group around one of its sets.
-    centre = checkpointed(sets.groupBy("gid").agg(F.min("sid").alias("centre"), F.count("*").alias("members")))
-    c1, c2 = (centre.select(F.col("gid").alias(g), F.col("centre").alias(s)) for g, s in (("gid1", "a"), ("gid", "b")))
-    next_to = met.select("gid", F.explode("beside").alias("gid1")).select(F.least("gid", "gid1").alias("gid"), F.greatest("gid", "gid1").alias("gid1")).distinct()
-    across = next_to.join(c1, "gid1").join(c2, "gid").select("a", "b")
-    inside = sets.join(centre.where("members > 1"), "gid").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
+    placed = posted.select("*", F.lag(F.struct("gid", "n", "place")).over(lists).alias("before"), F.lead("gid").over(lists).alias("next"))
+    alive = placed.where(F.col("before").isNotNull() | F.col("next").isNotNull() | (weight >= HOT))
+    beside = F.when(may(F.col("before.n"), F.col("before.place"), F.col("n"), F.col("place")), F.col("before.gid"))
+    met = stored(alive.select("token", "n", "place", "gid", beside.alias("beside")), "postings")
+
+    # First each member beside the one before it in the list, and each group around one of its sets.
+    near = lambda n1, n2, w1, w2: F.coalesce(sum((F.bit_count(F.get(w1, F.lit(i)).bitwiseXOR(F.get(w2, F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0)) * (denominator + numerator) <= (n1 + n2) * (denominator - numerator), F.lit(True))
+    centre = checkpointed(sets.groupBy("gid").agg(F.min(F.struct("sid", "n", "folded")).alias("c"), F.count("*").alias("members")).select("gid", F.col("c.sid").alias("centre"), F.col("c.n").alias("n"), F.col("c.folded").alias("folded"), "members"))
+    c1, c2 = (centre.select(F.col("gid").alias(g), F.col("centre").alias(s), F.col("n").alias(f"n{s}"), F.col("folded").alias(f"w{s}")) for g, s in (("gid1", "a"), ("gid", "b")))
+    next_to = met.where("beside is not null").select(F.least("gid", "beside").alias("gid"), F.greatest("gid", "beside").alias("gid1")).distinct()
+    across = next_to.join(c1, "gid1").join(c2, "gid").where(near(F.col("na"), F.col("nb"), F.col("wa"), F.col("wb"))).select("a", "b")
+    inside = sets.select("sid", "gid").join(centre.where("members > 1").select("gid", "centre"), "gid").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
     stars = verified(across.union(inside).distinct(), sets, docs, size, numerator, denominator)
     labels = components(stars)
 
     # Then all pairs that meet and are still apart.  A group of several sets has no parity to be ruled out by.
     labelled = checkpointed(_with_labels(sets.select("sid", "gid", "folded"), labels))
     span = checkpointed(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.when(F.count("*") == 1, F.first("folded")).alias("folded")))
-    words = [F.get("folded", F.lit(i)).alias(f"w{i}") for i in range(PARITY_WORDS)]
-    sides = met.select("token", "gid", "n", "place").join(span.select("gid", "low", "high", *words), "gid")
-    names = ("gid", "n", "place", "low", "high", *[f"w{i}" for i in range(PARITY_WORDS)])
+    sides = met.select("token", "gid", "n", "place").join(span.select("gid", "low", "high", "folded"), "gid")
+    names = ("gid", "n", "place", "low", "high", "folded")
     x, y = (sides.select("token", *[F.col(n).alias(f"{n}_{s}") for n in names]) for s in ("x", "y"))
     apart = ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
-    differ = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(PARITY_WORDS)), F.lit(0))
-    bound = F.coalesce(differ * (denominator + numerator) <= (F.col("n_x") + F.col("n_y")) * (denominator - numerator), F.lit(True))
+    bound = near(F.col("n_x"), F.col("n_y"), F.col("folded_x"), F.col("folded_y"))
     meet = x.join(y, (x["token"] == y["token"]) & (F.col("gid_x") < F.col("gid_y")) & apart & may(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y")) & bound)
     meet = meet.select("gid_x", "gid_y").distinct()
     sx, sy = (labelled.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(i), F.col("label").alias(f"label_{s}")) for s, i in (("x", "a"), ("y", "b")))

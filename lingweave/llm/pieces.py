@@ -11,6 +11,19 @@ _SPACE, _DARK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _CHUNKS = re.compile(rf" ?{_DARK}+|{_SPACE}+(?!{_DARK})|{_SPACE}+")
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(operator: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Says that a task of ``operator`` runs in this Python worker and how to free what it remembers; what other operators remember here is freed.
+
+    Workers serve many stages, and each may remember as much as a worker can spare.
+    """
+    for other in [o for o in _HELD if o != operator]:
+        _HELD.pop(other)()
+    _HELD[operator] = forget
+
+
 class Unsafe(Exception):
     """A piece that white space beside it could change."""
 
@@ -26,6 +39,10 @@ class Memory(dict):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
@@ -74,12 +91,17 @@ class SpaceLedPieces:
 
 
 class SpacelessPieces:
-    """For tokenizers that drop all white space: text is split at spaces and newlines alone."""
+    """For tokenizers that drop all white space: text is split at spaces and newlines alone.
+
+    ``folds``: the tokenizer lower-cases, so texts of ASCII alone are folded at once, which makes fewer distinct pieces; not if a special string might be in them.
+    """
 
-    def __init__(self, encode: Callable[[str], Any], most: int = 300_000):
-        self.found = Memory(encode, most)
+    def __init__(self, encode: Callable[[str], Any], most: int = 300_000, folds: bool = False):
+        self.found, self.folds = Memory(encode, most), folds
 
     def values(self, text: str) -> list[Any]:
+        if self.folds and text.isascii() and "<" not in text:
+            text = text.lower()
         return [*map(self.found.__getitem__, text.replace("\n", " ").split(" "))]
 
 
