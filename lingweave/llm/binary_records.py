@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, text_or_empty
+from .pieces import hold
 
 HEADER = b"LWREC\x00\x01\x00"
 MASK = 0xA282EAD8
@@ -89,7 +90,8 @@ class SpacelessEncoder:
         sizes = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
         self.width = 2 if sizes <= 1 << 16 else 4
         kind = "H" if self.width == 2 else "I"
-        self.pieces = SpacelessPieces(LibraryParts(tokenizer_path, lambda ids: array(kind, ids).tobytes(), most).ids, most)
+        library = LibraryParts(tokenizer_path, lambda ids: array(kind, ids).tobytes(), most)
+        self.pieces = SpacelessPieces(library.ids, most, library.folds and all("<" in s for s in library.specials))
         self.end = array(kind, [end_id]).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -101,6 +103,7 @@ _ENCODERS: dict = {}
 
 def spaceless_encoder(*key) -> SpacelessEncoder:
     """The encoder of a tokenizer and end id, made once in each Python worker."""
+    hold("records", _ENCODERS.clear)
     if key not in _ENCODERS:
         _ENCODERS[key] = SpacelessEncoder(*key)
     return _ENCODERS[key]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, text_or_empty
+from .pieces import hold
 
 #: The pre-token pattern of the byte-level tokenizers, and how they write bytes as characters.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +36,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixBpe:
     """Encodes and decodes as the tokenizer in ``path`` does, without special tokens at the ends."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import ahocorasick
         import regex
 
@@ -131,6 +132,7 @@ _CODERS: dict[str, PrefixBpe] = {}
 
 def coder(path: str) -> PrefixBpe:
     """The coder of a vocabulary, made once in each Python worker."""
+    hold("bpe", _CODERS.clear)
     if path not in _CODERS:
         _CODERS[path] = PrefixBpe(path)
     return _CODERS[path]

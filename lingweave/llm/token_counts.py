@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import path_exists, quoted, scratch_path, stored, text_or_empty
+from .pieces import hold
 
 CACHE_SCHEMA = "digest binary, version binary, n_tokens long"
 
@@ -41,6 +42,7 @@ _COUNTERS: dict = {}
 
 def counter(tokenizer_path: str):
     """A function that counts a text's tokens, made once in each Python worker."""
+    hold("token counts", _COUNTERS.clear)
     if tokenizer_path not in _COUNTERS:
         _COUNTERS[tokenizer_path] = _counter(tokenizer_path)
     return _COUNTERS[tokenizer_path]

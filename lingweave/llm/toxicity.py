@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, quoted, remainder, text_or_empty
-from .pieces import Memory
+from .pieces import Memory, hold
 
 #: Parameters: texts of either label to learn from at most; texts of the sample that a feature must occur in; FTRL's alpha, beta, L1 and L2; passes.
 SAMPLE, MIN_TEXTS, ALPHA, BETA, L1, L2, PASSES = 8_000, 3, 0.15, 1.0, 4.0, 0.1, 4
@@ -44,6 +44,10 @@ def _word(piece: str) -> int:
 _WORDS = Memory(_word, 300_000)
 
 
+def start_task() -> None:
+    hold("toxicity", _WORDS.forget)
+
+
 def feature_indices(text: str) -> np.ndarray:
     """The hashed features of a whole text, with repeats."""
     words = np.fromiter(map(_WORDS.__getitem__, text.split()), np.int64)
@@ -112,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     chosen = known.where("label > 0").orderBy(least, "id").limit(sample).union(known.where("label <= 0").orderBy(least, "id").limit(sample)).select("id", (F.col("label") > 0).cast("int").alias("label"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for batch in batches:
             found = [np.unique(feature_indices(t)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["place", "label", "at"])
@@ -138,6 +143,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shown = [*dict.fromkeys((id_col, *keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for batch in batches:
             scores = [model.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*shown, named])
