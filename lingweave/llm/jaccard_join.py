@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_keys, checkpointed, fresh, quoted, stored, text_digest, text_or_empty
-from .pieces import hold
+from .pieces import hold, trim
 
 #: Parameters: words of a shingle; similarity as a fraction; bits of the sketch and of a chunk of it; bytes of ids that may be broadcast.
 WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 21, 16, 32 << 20
@@ -75,6 +75,7 @@ def sketch_counts(texts: DataFrame, size: int) -> np.ndarray:
             if b > a:
                 kind = "<u1" if n[a:b].max() < 256 else "<u8"
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "at": [(at[a:b] & (1 << CHUNK_BITS) - 1).astype("<u2").tobytes()], "n": [n[a:b].astype(kind).tobytes()]})
+        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -145,6 +146,7 @@ def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) ->
                     prefixes.append(prefix.view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(psigs, pa.binary()), pa.array(parities, pa.binary()), pa.array(words, pa.list_(pa.int64())), lists], ["doc_id", "digest", "n", "sig", "psig", "parity", "folded", "prefix"])
+        trim()
 
     schema = docs.select("doc_id").schema.add("digest", "binary").add("n", "long").add("sig", "binary").add("psig", "binary").add("parity", "binary").add("folded", T.ArrayType(T.LongType())).add("prefix", T.ArrayType(T.LongType()))
     return stored(docs.select("doc_id", text_digest("content").alias("digest"), "content").mapInArrow(run, schema), "signatures")

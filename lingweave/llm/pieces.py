@@ -19,9 +19,25 @@ def hold(operator: str, forget: Callable[[], None] = lambda: None) -> None:
 
     Workers serve many stages, and each may remember as much as a worker can spare.
     """
-    for other in [o for o in _HELD if o != operator]:
+    others = [o for o in _HELD if o != operator]
+    for other in others:
         _HELD.pop(other)()
     _HELD[operator] = forget
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is no longer used back to the system, which allocators otherwise keep while a worker idles."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
 
 
 class Unsafe(Exception):
