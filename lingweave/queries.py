@@ -101,10 +101,19 @@ def word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).cast("long").alias("n_words"), X.word_count_single_spaced(X.normalise(F.col("text"))).cast("long").alias("n_normalised"))
 
 
-def sanitize_text(spark, d):
+def _sanitised(docs: DataFrame, text: Column) -> DataFrame:
     """The sanitiser on texts with dashes, cues and ellipses worked in."""
-    rough = F.concat(F.lit("— [cue] "), F.replace(F.substr("text", F.lit(1), F.lit(400)), F.lit(", "), F.lit("... ")), F.lit(" 你好 x..."))
-    return table(spark, d, "documents").select("doc_id", X.sanitise(X.drop_bracketed(rough)).alias("clean"))
+    rough = F.concat(F.lit("— [cue] "), F.replace(text, F.lit(", "), F.lit("... ")), F.lit(" 你好 x..."))
+    return docs.select("doc_id", X.sanitise(X.drop_bracketed(rough)).alias("clean"))
+
+
+def sanitize_text(spark, d):
+    """As its SQL has it, the first 400 characters alone; ``sanitize_whole_text`` reads all."""
+    return _sanitised(table(spark, d, "documents"), F.substr("text", F.lit(1), F.lit(400)))
+
+
+def sanitize_whole_text(spark, d):
+    return _sanitised(table(spark, d, "documents"), F.col("text"))
 
 
 def preaudit_rows(spark, d):
@@ -415,6 +424,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_text": normalize_text,
     "word_counts": word_counts,
     "sanitize_text": sanitize_text,
+    "sanitize_whole_text": sanitize_whole_text,
     "clean_reason_counts": lambda spark, d: counts(C.classify(pairs(spark, d), CleaningConfig())),
     "clean_global": cleaned(),
     "clean_split_scope": cleaned(dedup_scope="split"),
