@@ -337,25 +337,32 @@ def attention_masks(spark, d):
 
 
 def translations(spark, d) -> DataFrame:
-    """Hypothesis and reference: a document's first and second line."""
+    """Hypothesis and reference: a document's first and second line, as the SQL has them; ``whole_translations`` takes all lines."""
     lines = F.split("text", "\n")
     return table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("hypothesis"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("reference"))
 
 
-def bleu_stats(spark, d):
-    return B.bleu_stats(translations(spark, d)).select(*long("n", "match", "hyp", "ref"))
+def whole_translations(spark, d) -> DataFrame:
+    """Hypothesis and reference: a document's lines in turn, so that all of them are scored."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    side = lambda k: F.array_join(F.filter(lines, lambda _, i: i % 2 == k), "\n")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("index"), side(0).alias("hypothesis"), side(1).alias("reference"))
 
 
-def chrf_stats(spark, d):
-    return B.chrf_stats(translations(spark, d)).select(*long("n", "match", "hyp", "ref"))
+def bleu_stats(rows: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: B.bleu_stats(rows(spark, d)).select(*long("n", "match", "hyp", "ref"))
 
 
-def bleu_score(spark, d):
-    return B.bleu(translations(spark, d)).select(F.round("bleu", 6).alias("bleu"))
+def chrf_stats(rows: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: B.chrf_stats(rows(spark, d)).select(*long("n", "match", "hyp", "ref"))
 
 
-def chrf_score(spark, d):
-    return B.chrf(translations(spark, d)).select(F.round("chrf", 6).alias("chrf"))
+def bleu_score(rows: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: B.bleu(rows(spark, d)).select(F.round("bleu", 6).alias("bleu"))
+
+
+def chrf_score(rows: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: B.chrf(rows(spark, d)).select(F.round("chrf", 6).alias("chrf"))
 
 
 def lr_schedule(spark, d):
@@ -466,10 +473,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pad_masks": pad_masks,
     "causal_mask": causal_mask,
     "attention_masks": attention_masks,
-    "bleu_stats": bleu_stats,
-    "bleu_score": bleu_score,
-    "chrf_stats": chrf_stats,
-    "chrf_score": chrf_score,
+    "bleu_stats": bleu_stats(translations),
+    "bleu_stats_whole": bleu_stats(whole_translations),
+    "bleu_score": bleu_score(translations),
+    "bleu_score_whole": bleu_score(whole_translations),
+    "chrf_stats": chrf_stats(translations),
+    "chrf_stats_whole": chrf_stats(whole_translations),
+    "chrf_score": chrf_score(translations),
+    "chrf_score_whole": chrf_score(whole_translations),
     "lr_schedule": lr_schedule,
     "length_penalty": length_penalty,
     "sequence_lengths": sequence_lengths,

@@ -1,7 +1,9 @@
 """Queries over whole inputs, which have no SQL: against plain Python on small tables with long rows."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from test_text_and_cleaning import plain_sanitise
@@ -28,3 +30,40 @@ def test_sanitize_whole_text(spark, documents):
     assert got == {i: None if t is None else plain_sanitise(t) for i, t in enumerate(rough)}
     prefix = {r.doc_id: r.clean for r in QUERIES["sanitize_text"](spark, d).collect()}
     assert all((prefix[i] == got[i]) == (len(t or "") <= 400) for i, t in enumerate(texts))
+
+
+def plain_stats(pairs, order, joiner):
+    """``n: (match, hyp, ref)`` of pairs of item lists."""
+    grams = lambda items, n: Counter(joiner.join(items[i : i + n]) for i in range(len(items) - n + 1))
+    out = {n: [0, 0, 0] for n in range(1, order + 1)}
+    for hypothesis, reference in pairs:
+        for n in out:
+            h, r = grams(hypothesis, n), grams(reference, n)
+            out[n] = [a + b for a, b in zip(out[n], ((h & r).total(), h.total(), r.total()))]
+    return {n: tuple(x) for n, x in out.items()}
+
+
+def plain_13a(t):
+    for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        t = t.replace(a, b)
+    t = f" {t} "
+    for pattern, to in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = re.sub(pattern, to, t)
+    return t.split()
+
+
+def test_metrics_read_all_lines(spark, documents):
+    d, texts = documents
+    lines = [(t or "").split("\n") for t in texts]
+    sides = [("\n".join(x[::2]), "\n".join(x[1::2])) for x in lines]
+    got = lambda name: {r.n: (r.match, r.hyp, r.ref) for r in QUERIES[name](spark, d).collect()}
+    words = plain_stats([(plain_13a(h), plain_13a(r)) for h, r in sides], 4, " ")
+    chars = plain_stats([tuple([*"".join(x.split())] for x in pair) for pair in sides], 6, "")
+    assert got("bleu_stats_whole") == words and got("chrf_stats_whole") == chars
+    # Every character is on one side or the other.
+    assert sum(chars[1][1:]) == sum(len("".join((t or "").split())) for t in texts) > sum(got("chrf_stats")[1][1:])
+    (h1, r1), precisions = words[1][1:], [m / h for m, h, _ in words.values()]
+    bleu = 100 * min(1.0, math.exp(1 - r1 / h1)) * math.exp(sum(map(math.log, precisions)) / 4)
+    p, r = (sum(x[0] / x[side] for x in chars.values()) / 6 for side in (1, 2))
+    assert QUERIES["bleu_score_whole"](spark, d).first().bleu == pytest.approx(bleu, abs=1e-6)
+    assert QUERIES["chrf_score_whole"](spark, d).first().chrf == pytest.approx(100 * 5 * p * r / (4 * p + r), abs=1e-6)
