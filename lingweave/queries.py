@@ -266,8 +266,12 @@ def top_long_words(spark, d):
 
 
 def bpe_pairs(spark, d):
-    found = S.pair_counts(S.symbols(S.word_frequencies(train(spark, d))))
-    return found.orderBy(F.desc("n"), "left", "right").limit(25)
+    """The 25 most frequent pairs, as the SQL has them; ``bpe_pairs_all`` has all."""
+    return bpe_pairs_all(spark, d).orderBy(F.desc("n"), "left", "right").limit(25)
+
+
+def bpe_pairs_all(spark, d):
+    return S.pair_counts(S.symbols(S.word_frequencies(train(spark, d))))
 
 
 def corpus_lines(spark, d):
@@ -464,6 +468,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "long_word_buckets": long_word_buckets,
     "top_long_words": top_long_words,
     "bpe_pairs": bpe_pairs,
+    "bpe_pairs_all": bpe_pairs_all,
     "corpus_lines": corpus_lines,
     "encode_examples": encode_examples,
     "overlength_stats": overlength_stats,

@@ -67,3 +67,16 @@ def test_metrics_read_all_lines(spark, documents):
     p, r = (sum(x[0] / x[side] for x in chars.values()) / 6 for side in (1, 2))
     assert QUERIES["bleu_score_whole"](spark, d).first().bleu == pytest.approx(bleu, abs=1e-6)
     assert QUERIES["chrf_score_whole"](spark, d).first().chrf == pytest.approx(100 * 5 * p * r / (4 * p + r), abs=1e-6)
+
+
+def test_bpe_pairs_all(spark, documents):
+    d, texts = documents
+    expected = Counter()
+    for i, t in enumerate(texts):
+        if i % 10 > 1:
+            for side in ("None" if t is None else t).split("\n", 1) if "\n" in (t or "") else (("None" if t is None else t), "None"):
+                for word in re.findall(r"\w+", side):
+                    symbols = ["▁" + word.lower()[0], *word.lower()[1:]]
+                    expected.update(zip(symbols, symbols[1:]))
+    got = {(r.left, r.right): r.n for r in QUERIES["bpe_pairs_all"](spark, d).collect()}
+    assert got == expected and len(got) > 25
