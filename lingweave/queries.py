@@ -388,20 +388,30 @@ def positional_encoding(spark, d):
 
 
 def _logits(spark, d) -> DataFrame:
+    """Ten components of each vector, as the SQL has them; ``_whole_logits`` takes all."""
     e = table(spark, d, "embeddings").where("embedding is not null")
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 8).alias("logits"), (F.col("vec_id") % 10).cast("int").alias("target"), (F.col("vec_id") % 4).alias("batch"))
+    return _tokens(e, F.slice("embedding", 1, 10), F.lit(10))
 
 
-def label_smoothed_ce(spark, d):
-    return M.smoothed_loss(_logits(spark, d), 0.1, ["batch"]).select("batch", F.round("loss", 6).alias("loss"))
+def _whole_logits(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").where("size(embedding) > 0")
+    return _tokens(e, F.col("embedding"), F.size("embedding"))
 
 
-def validation_loss(spark, d):
-    return M.validation_loss(M.smoothed_loss(_logits(spark, d), 0.1, ["batch"])).select(F.round("loss", 6).alias("loss"))
+def _tokens(e: DataFrame, values: Column, n: Column) -> DataFrame:
+    return e.select("vec_id", F.transform(values, lambda x: x.cast("double") * 8).alias("logits"), (F.col("vec_id") % n).cast("int").alias("target"), (F.col("vec_id") % 4).alias("batch"))
 
 
-def greedy_argmax(spark, d):
-    return _logits(spark, d).select("vec_id", M.argmax(F.col("logits")).alias("best"))
+def label_smoothed_ce(logits: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: M.smoothed_loss(logits(spark, d), 0.1, ["batch"]).select("batch", F.round("loss", 6).alias("loss"))
+
+
+def validation_loss(logits: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: M.validation_loss(M.smoothed_loss(logits(spark, d), 0.1, ["batch"])).select(F.round("loss", 6).alias("loss"))
+
+
+def greedy_argmax(logits: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: logits(spark, d).select("vec_id", M.argmax(F.col("logits")).alias("best"))
 
 
 def early_stopping(spark, d):
@@ -490,9 +500,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "length_penalty": length_penalty,
     "sequence_lengths": sequence_lengths,
     "positional_encoding": positional_encoding,
-    "label_smoothed_ce": label_smoothed_ce,
-    "validation_loss": validation_loss,
-    "greedy_argmax": greedy_argmax,
+    "label_smoothed_ce": label_smoothed_ce(_logits),
+    "label_smoothed_ce_whole": label_smoothed_ce(_whole_logits),
+    "validation_loss": validation_loss(_logits),
+    "validation_loss_whole": validation_loss(_whole_logits),
+    "greedy_argmax": greedy_argmax(_logits),
+    "greedy_argmax_whole": greedy_argmax(_whole_logits),
     "early_stopping": early_stopping,
     "best_hypothesis": best_hypothesis,
     "greedy_table_decode": table_decode(1),

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_text_and_cleaning import plain_sanitise
 
@@ -80,3 +81,21 @@ def test_bpe_pairs_all(spark, documents):
                     expected.update(zip(symbols, symbols[1:]))
     got = {(r.left, r.right): r.n for r in QUERIES["bpe_pairs_all"](spark, d).collect()}
     assert got == expected and len(got) > 25
+
+
+def test_whole_vectors_are_logits(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    vectors = {i: rng.normal(size=64).astype("float32") for i in range(80)}
+    rows = [(i, [float(x) for x in v]) for i, v in vectors.items()] + [(80, None), (81, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    best = {r.vec_id: r.best for r in QUERIES["greedy_argmax_whole"](spark, str(tmp_path)).collect()}
+    assert best == {i: v.argmax() for i, v in vectors.items()} and max(best.values()) > 9
+    losses = {}
+    for i, v in vectors.items():
+        x = v.astype(float) * 8
+        log_p = x - x.max() - np.log(np.exp(x - x.max()).sum())
+        if i % 64:
+            losses.setdefault(i % 4, []).append(-0.9 * log_p[i % 64] - 0.1 * log_p.mean())
+    got = {r.batch: r.loss for r in QUERIES["label_smoothed_ce_whole"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({b: np.mean(x) for b, x in losses.items()}, abs=1e-6)
+    assert QUERIES["validation_loss_whole"](spark, str(tmp_path)).first().loss == pytest.approx(np.mean([np.mean(x) for x in losses.values()]), abs=1e-6)
