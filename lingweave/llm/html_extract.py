@@ -29,7 +29,7 @@ SAMPLE, SMOOTH, DECAY = 2_000, 1.2, 0.55
 
 #: Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = "script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|audio|video|head|title|button"
+DROPPED = "script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|audio|video|title|button"
 CLOSED_BY_BLOCKS = frozenset(("p",))
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -45,8 +45,9 @@ BOILERPLATE_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content entry post story main body text prose".split())
 NEUTRAL_FOR_WORDS = frozenset("html body main article".split())
 
+#: Of the dropped elements, svg and math may be empty, and raw text that is not closed runs to the end; of others that are not closed only the tag goes.  A head needs no rule: what it may hold has no text or is dropped.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({DROPPED})\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({DROPPED})(?=[\s/>])(?:(?:(?<=<svg)|(?<=<math))[^>]*/>|[^>]*>.*?(?:</\1\s*>|(?=<body\b))|(?:(?<=<script)|(?<=<style)|(?<=<textarea)|(?<=<title))[^>]*>.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
