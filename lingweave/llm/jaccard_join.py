@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_keys, checkpointed, fresh, quoted, stored, text_digest, text_or_empty
-from .pieces import hold, trim
 
 #: Parameters: words of a shingle; similarity as a fraction; bits of the sketch and of a chunk of it; bytes of ids that may be broadcast.
 WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 21, 16, 32 << 20
-#: A shingle's weight is 1024 times the binary logarithm of its count; from HOT on its posting list is salted.
-HOT = 12 * 1024
+#: A shingle's weight is UNIT times the binary logarithm of its count; from HOT on, or where its bin of the sketch holds CROWDED times as much as the mean, it counts as frequent.
+UNIT, CROWDED = 512, 8
+HOT = 12 * UNIT
+#: Hashes below this are countable, a quarter of all; what is not comes last in the global order.
+COUNTABLE, UNCOUNTED = 1 << 62, 0x7FFF
 #: Parameter: 64-bit words of the parity that travels with postings.
-PARITY_WORDS = 4
+PARITY_WORDS = 16
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -61,7 +63,6 @@ def sketch_counts(texts: DataFrame, size: int) -> np.ndarray:
     """Weights of hashed shingles by the leading bits of the hash, from counts over all texts (one column)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("jaccard join")
         total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -75,7 +76,6 @@ def sketch_counts(texts: DataFrame, size: int) -> np.ndarray:
             if b > a:
                 kind = "<u1" if n[a:b].max() < 256 else "<u8"
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "at": [(at[a:b] & (1 << CHUNK_BITS) - 1).astype("<u2").tobytes()], "n": [n[a:b].astype(kind).tobytes()]})
-        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -84,7 +84,7 @@ def sketch_counts(texts: DataFrame, size: int) -> np.ndarray:
                 places = np.frombuffer(at, "<u2")
                 sums.setdefault(c, np.zeros(1 << CHUNK_BITS, np.int64))[places] += np.frombuffer(n, "<u1" if len(n) == len(places) else "<u8").astype(np.int64)
         for c, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "weight": [np.rint(1024 * np.log2(1.0 + x)).astype("<u2").tobytes()]})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "weight": [np.rint(UNIT * np.log2(1.0 + x)).astype("<u2").tobytes()]})
 
     chunks = texts.mapInArrow(count, "chunk int, at binary, n binary").repartition("chunk").mapInArrow(add, "chunk int, weight binary")
     weights = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint16)
@@ -97,6 +97,10 @@ def _needed(n: int, numerator: int, denominator: int) -> int:
     return -(-numerator * n // denominator)
 
 
+def _prefix_length(n: int, numerator: int, denominator: int) -> int:
+    return n - _needed(n, numerator, denominator) + 1 if n else 0
+
+
 def parity(hashes: np.ndarray) -> bytes:
     """For each of a power of two of bins, at least as many as hashes, whether it holds an odd number of them.
 
@@ -121,35 +125,82 @@ def parity_words(whole: bytes) -> list[int]:
     return np.bitwise_xor.reduce(x.reshape(-1, 8 * PARITY_WORDS), axis=0).view(np.int64).tolist()
 
 
-def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """``doc_id, digest`` (of the text), ``n, sig`` (digest of the set), ``psig`` (digest of size and prefix), ``parity, folded`` (its words), ``prefix`` for each document, as a stored table."""
-    weights = docs.sparkSession.sparkContext.broadcast(sketch_counts(docs.select("content"), size))
+def hot_from(weights: np.ndarray) -> int:
+    """The weight from which a bin of the sketch counts as frequent: bins grow with the input, so it is also measured by their mean."""
+    mean = float((np.exp2(weights / UNIT) - 1).mean())
+    return max(HOT, int(UNIT * np.log2(1 + CROWDED * mean)))
+
+
+def early_tokens(h: np.ndarray, length: int, weights: np.ndarray, hot: int) -> tuple[np.ndarray, int]:
+    """The hashes that may be among the first ``length`` of a set's order, as tokens, and how many of them are countable.
+
+    A token is a weight above 48 bits of the hash.  Countable ones have weight 0 until they are counted, or the sketch's weight where that is frequent; the others, taken only where
+    the countable ones are too few, have the last weight and go by hash.
+    """
+    n = int(np.searchsorted(h, np.uint64(COUNTABLE)))
+    first, rest = h[:n], h[n:length]
+    w = weights[(first >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    first = np.where(w >= hot, w, np.uint64(0)) << np.uint64(48) | first & np.uint64((1 << 48) - 1)
+    return np.concatenate([first, np.uint64(UNCOUNTED << 48) | rest >> np.uint64(16)]).view(np.int64), n
+
+
+def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) -> tuple[DataFrame, int]:
+    """``doc_id, digest`` (of the text), ``n, sig`` (digest of the set), ``parity, folded`` (its words), ``countable, early`` (see ``early_tokens``) for each document, as a stored table; and the weight of frequent shingles."""
+    counted = sketch_counts(docs.select("content"), size)
+    hot, weights = hot_from(counted), docs.sparkSession.sparkContext.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("jaccard join")
         weight = weights.value
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                sizes, sigs, psigs, parities, words, prefixes = [], [], [], [], [], []
+                sizes, sigs, parities, words, countable, early = [], [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     h = shingles(text, size)
                     n = len(h)
-                    tokens = weight[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
-                    length = n - _needed(n, numerator, denominator) + 1 if n else 0
-                    prefix = np.sort(np.partition(tokens, length - 1)[:length]) if n else tokens
+                    tokens, some = early_tokens(h, _prefix_length(n, numerator, denominator), weight, hot)
                     sizes.append(n)
                     sigs.append(hashlib.md5(h.tobytes()).digest())
-                    psigs.append(hashlib.md5(n.to_bytes(8, "little") + prefix.tobytes()).digest())
                     parities.append(parity(h))
                     words.append(parity_words(parities[-1]))
-                    prefixes.append(prefix.view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(psigs, pa.binary()), pa.array(parities, pa.binary()), pa.array(words, pa.list_(pa.int64())), lists], ["doc_id", "digest", "n", "sig", "psig", "parity", "folded", "prefix"])
-        trim()
+                    countable.append(some)
+                    early.append(tokens)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, early)]), pa.int32()), pa.array(np.concatenate(early)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(parities, pa.binary()), pa.array(words, pa.list_(pa.int64())), pa.array(countable, pa.int32()), lists], ["doc_id", "digest", "n", "sig", "parity", "folded", "countable", "early"])
 
-    schema = docs.select("doc_id").schema.add("digest", "binary").add("n", "long").add("sig", "binary").add("psig", "binary").add("parity", "binary").add("folded", T.ArrayType(T.LongType())).add("prefix", T.ArrayType(T.LongType()))
-    return stored(docs.select("doc_id", text_digest("content").alias("digest"), "content").mapInArrow(run, schema), "signatures")
+    longs = T.ArrayType(T.LongType())
+    schema = docs.select("doc_id").schema.add("digest", "binary").add("n", "long").add("sig", "binary").add("parity", "binary").add("folded", longs).add("countable", "integer").add("early", longs)
+    return stored(docs.select("doc_id", text_digest("content").alias("digest"), "content").mapInArrow(run, schema), "signatures"), hot
+
+
+def _salt(token: Column, by: Column, hot: int) -> Column:
+    """0, or for a frequent token one of as many numbers as its count asks for, by the hash of ``by``."""
+    weight = F.shiftrightunsigned(token, 48)
+    parts = F.pow(F.lit(2.0), F.least(F.floor((weight - hot) / UNIT) + 1, F.lit(20))).cast("long")
+    return F.when((weight >= hot) & (weight < UNCOUNTED), F.pmod(F.xxhash64(by), parts)).otherwise(F.lit(0)).cast("int")
+
+
+def prefixes(sets: DataFrame, numerator: int, denominator: int, hot: int) -> DataFrame:
+    """``sid, n, folded, prefix`` (array of ``place, token``) of the sets that share a shingle of their prefix with another set.
+
+    Countable shingles are counted exactly; those of one set alone come first in the order and are posted nowhere, for they can meet nothing.  Most sets are left out by that: their
+    prefix is theirs alone.
+    """
+    posted = sets.select("sid", F.posexplode("early").alias("at", "token"))
+    held = posted.withColumn("salt", _salt(F.col("token"), F.col("sid"), hot))
+    counted = held.withColumn("count", F.count("*").over(Window.partitionBy("token", "salt")))
+    weight = F.shiftrightunsigned("token", 48)
+    frequent = (weight >= hot) & (weight < UNCOUNTED)
+    shared = counted.where(frequent | (F.col("count") > 1))
+    by_count = F.least(F.rint(UNIT * F.log2(F.col("count").cast("double"))).cast("long"), F.lit(hot - 1))
+    shared = shared.select("sid", F.when(weight == 0, F.shiftleft(by_count, 48).bitwiseOR(F.col("token"))).otherwise(F.col("token")).alias("token"), "at")
+    held_by_others = F.count_if(F.shiftrightunsigned("token", 48) < UNCOUNTED).alias("counted")
+    lists = shared.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("token", "at"))).alias("shared"), held_by_others)
+    length = F.col("n") - F.ceil(F.col("n") * numerator / denominator) + 1
+    known = lists.join(sets.select("sid", "n", "countable", "folded"), "sid").withColumn("alone", F.col("countable") - F.col("counted"))
+    place = lambda t, i: F.when(F.shiftrightunsigned(t["token"], 48) < UNCOUNTED, F.col("alone") + i).otherwise(t["at"]).cast("int")
+    prefix = F.filter(F.transform("shared", lambda t, i: F.struct(place(t, i).alias("place"), t["token"].alias("token"))), lambda t: t["place"] < length)
+    return known.select("sid", F.col("n").cast("int").alias("n"), "folded", prefix.alias("prefix")).where(F.size("prefix") > 0)
 
 
 def _close(n1: Column, n2: Column, numerator: int, denominator: int) -> Column:
@@ -234,41 +285,45 @@ def _with_labels(sets: DataFrame, labels: DataFrame) -> DataFrame:
 def similarity_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document, besides ``digest`` (of the text) and ``component`` (equal for documents of one component; null for the empty set)."""
     docs = documents.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("content"))
-    signed = signatures(docs, size, numerator, denominator)
+    signed, hot = signatures(docs, size, numerator, denominator)
     full = signed.where("n > 0")
+    distinct = full.groupBy("sig").agg(F.first(F.struct("n", "parity", "folded", "countable", "early")).alias("s"), F.min("doc_id").alias("doc"))
+    sets = stored(distinct.select(F.monotonically_increasing_id().alias("sid"), "sig", "s.*", "doc"), "sets")
 
-    # Groups of equal size and prefix; a group's id is half of its digest: should two groups share it, their sets are verified as those of one.
-    gid = F.conv(F.substr(F.hex("psig"), F.lit(1), F.lit(16)), 16, -10).cast("long")
-    groups = full.groupBy("psig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select(gid.alias("gid"), F.col("n").cast("int").alias("n"), "prefix")
-    distinct = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("psig").alias("psig"), F.first("parity").alias("parity"), F.first("folded").alias("folded"), F.min("doc_id").alias("doc"))
-    sets = stored(distinct.select(F.monotonically_increasing_id().alias("sid"), "sig", "n", gid.alias("gid"), "parity", "folded", "doc"), "sets")
+    # Groups of equal size and prefix, by 128 bits of hashes; a group's id is half of them: should two groups share it, their sets are verified as those of one.
+    two = [F.xxhash64("n", "prefix").alias("gid"), F.xxhash64(F.lit(1), "prefix", "n").alias("twin")]
+    grouped = stored(prefixes(sets, numerator, denominator, hot).select("sid", "n", "folded", "prefix", *two), "prefixes")
+    groups = grouped.groupBy("gid", "twin").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     # Postings of the prefixes; only lists of two and more go on.
     may = lambda n1, p1, n2, p2: _may_link(n1, p1, n2, p2, numerator, denominator)
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
+    posted = groups.select("gid", "n", F.inline("prefix")).withColumn("salt", _salt(F.col("token"), F.col("gid"), hot))
     weight = F.shiftrightunsigned("token", 48)
-    salt = F.when(weight >= HOT, F.pmod(F.xxhash64("gid"), F.pow(F.lit(2.0), F.floor((weight - HOT) / 1024) + 1).cast("long"))).otherwise(F.lit(0))
     lists = Window.partitionBy("token", "salt").orderBy(F.xxhash64("gid", "token"), "gid")
-    posted = posted.select("token", salt.cast("int").alias("salt"), "n", "place", "gid")
     placed = posted.select("*", F.lag(F.struct("gid", "n", "place")).over(lists).alias("before"), F.lead("gid").over(lists).alias("next"))
-    alive = placed.where(F.col("before").isNotNull() | F.col("next").isNotNull() | (weight >= HOT))
+    alive = placed.where(F.col("before").isNotNull() | F.col("next").isNotNull() | (weight >= hot))
     beside = F.when(may(F.col("before.n"), F.col("before.place"), F.col("n"), F.col("place")), F.col("before.gid"))
     met = stored(alive.select("token", "n", "place", "gid", beside.alias("beside")), "postings")
 
     # First each member beside the one before it in the list, and each group around one of its sets.
     near = lambda n1, n2, w1, w2: F.coalesce(sum((F.bit_count(F.get(w1, F.lit(i)).bitwiseXOR(F.get(w2, F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0)) * (denominator + numerator) <= (n1 + n2) * (denominator - numerator), F.lit(True))
-    centre = checkpointed(sets.groupBy("gid").agg(F.min(F.struct("sid", "n", "folded")).alias("c"), F.count("*").alias("members")).select("gid", F.col("c.sid").alias("centre"), F.col("c.n").alias("n"), F.col("c.folded").alias("folded"), "members"))
+    centre = checkpointed(grouped.groupBy("gid").agg(F.min(F.struct("sid", "n", "folded")).alias("c"), F.count("*").alias("members")).select("gid", F.col("c.sid").alias("centre"), F.col("c.n").alias("n"), F.col("c.folded").alias("folded"), "members"))
     c1, c2 = (centre.select(F.col("gid").alias(g), F.col("centre").alias(s), F.col("n").alias(f"n{s}"), F.col("folded").alias(f"w{s}")) for g, s in (("gid1", "a"), ("gid", "b")))
     next_to = met.where("beside is not null").select(F.least("gid", "beside").alias("gid"), F.greatest("gid", "beside").alias("gid1")).distinct()
     across = next_to.join(c1, "gid1").join(c2, "gid").where(near(F.col("na"), F.col("nb"), F.col("wa"), F.col("wb"))).select("a", "b")
-    inside = sets.select("sid", "gid").join(centre.where("members > 1").select("gid", "centre"), "gid").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
+    inside = grouped.select("sid", "gid").join(centre.where("members > 1").select("gid", "centre"), "gid").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
     stars = verified(across.union(inside).distinct(), sets, docs, size, numerator, denominator)
     labels = components(stars)
 
     # Then all pairs that meet and are still apart.  A group of several sets has no parity to be ruled out by.
-    labelled = checkpointed(_with_labels(sets.select("sid", "gid", "folded"), labels))
+    labelled = checkpointed(_with_labels(grouped.select("sid", "gid", "folded"), labels))
     span = checkpointed(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.when(F.count("*") == 1, F.first("folded")).alias("folded")))
     sides = met.select("token", "gid", "n", "place").join(span.select("gid", "low", "high", "folded"), "gid")
+    # A list whose members are one component already is done; of lists with the same members the first one does for all, as its shingle is the first that any two of them share.
+    members = F.count("*").alias("size"), F.bit_xor(F.xxhash64("gid")).alias("m1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("m2")
+    open_lists = sides.groupBy("token").agg(*members, F.min("low").alias("least"), F.max("high").alias("most")).where("size > 1 and least <> most")
+    first = open_lists.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    sides = checkpointed(sides.join(first, "token", "left_semi"))
     names = ("gid", "n", "place", "low", "high", "folded")
     x, y = (sides.select("token", *[F.col(n).alias(f"{n}_{s}") for n in names]) for s in ("x", "y"))
     apart = ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))

@@ -129,7 +129,7 @@ def test_components_equal_brute_force(spark, seed):
 
 
 def test_large_groups_and_salts(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT", 4 * 1024)
+    monkeypatch.setattr(jaccard_join, "HOT", 4 * jaccard_join.UNIT)
     monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 0)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(60)]
