@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, text_or_empty
-from .pieces import hold
 
 HEADER = b"LWREC\x00\x01\x00"
 MASK = 0xA282EAD8
@@ -82,7 +81,7 @@ def file_system(path: str):
 class SpacelessEncoder:
     """Encodes with the tokenizers library, which drops white space here, and remembers what it made of each piece between spaces."""
 
-    def __init__(self, tokenizer_path: str, end_id: int, most: int = 500_000):
+    def __init__(self, tokenizer_path: str, end_id: int, room: int = 96 << 20):
         from tokenizers import Tokenizer
 
         from .pieces import LibraryParts, SpacelessPieces
@@ -90,25 +89,14 @@ class SpacelessEncoder:
         sizes = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
         self.width = 2 if sizes <= 1 << 16 else 4
         kind = "H" if self.width == 2 else "I"
-        library = LibraryParts(tokenizer_path, lambda ids: array(kind, ids).tobytes(), most)
-        self.pieces = SpacelessPieces(library.ids, most, library.folds and all("<" in s for s in library.specials))
+        library = LibraryParts(tokenizer_path, lambda ids: array(kind, ids).tobytes(), room // 4)
+        self.pieces = SpacelessPieces(library.ids, room // 4 * 3, library.folds and all("<" in s for s in library.specials))
         self.end = array(kind, [end_id]).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.pieces.values(text)) + self.end
 
 
-_ENCODERS: dict = {}
-
-
-def spaceless_encoder(*key) -> SpacelessEncoder:
-    """The encoder of a tokenizer and end id, made once in each Python worker."""
-    hold("records", _ENCODERS.clear)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = SpacelessEncoder(*key)
-    return _ENCODERS[key]
-
-
 def write_token_records(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends ``end_id``, and writes the shards in ascending order of the id; returns the manifest."""
 
@@ -118,7 +106,7 @@ def write_token_records(docs: DataFrame, out_dir: str, tokenizer_path: str, end_
 
         task = TaskContext.get()
         shard, name = task.partitionId(), f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder, store, offsets, at, n_tokens = spaceless_encoder(tokenizer_path, end_id), None, [], len(HEADER), 0
+        encoder, store, offsets, at, n_tokens = SpacelessEncoder(tokenizer_path, end_id), None, [], len(HEADER), 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part, framed = batch.slice(start, 256), []

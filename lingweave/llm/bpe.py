@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted, text_or_empty
-from .pieces import hold
 
 #: The pre-token pattern of the byte-level tokenizers, and how they write bytes as characters.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,7 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixBpe:
     """Encodes and decodes as the tokenizer in ``path`` does, without special tokens at the ends."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, room: int = 160 << 20):
         import ahocorasick
         import regex
 
@@ -68,10 +67,10 @@ class PrefixBpe:
             self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.automaton.make_automaton()
         self.bytes_of = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
-        self.fits = Memory(self._fits, most)
+        self.fits = Memory(self._fits, room // 5)
         self.pattern = regex.compile(PRETOKENS)
-        self.pretokens = Memory(self._pretoken, most // 2)
-        self.pieces = SpaceLedPieces(self._literal, most, self.specials)
+        self.pretokens = Memory(self._pretoken, room // 4)
+        self.pieces = SpaceLedPieces(self._literal, room // 8 * 3, self.specials)
 
     def _fits(self, pair: int) -> bool:
         """Whether encoding the joined bytes of two tokens gives these two; ``pair`` is the left id times the vocabulary's size plus the right id.
@@ -127,17 +126,6 @@ class PrefixBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, PrefixBpe] = {}
-
-
-def coder(path: str) -> PrefixBpe:
-    """The coder of a vocabulary, made once in each Python worker."""
-    hold("bpe", _CODERS.clear)
-    if path not in _CODERS:
-        _CODERS[path] = PrefixBpe(path)
-    return _CODERS[path]
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>, decoded string`` for each row: the ids of the whole text and the text decoded from them."""
 
@@ -146,7 +134,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        bpe = coder(tokenizer_path)
+        bpe = PrefixBpe(tokenizer_path)  # this task's own, freed with it
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)

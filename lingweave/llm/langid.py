@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, quoted, remainder
-from .pieces import hold
 
 #: Parameters: texts per language to learn from at most, languages at most, hashed features, passes, weight of the margin.
 SAMPLE, LANGUAGES, DIMENSIONS, PASSES, REGULAR = 300, 500, 1 << 15, 12, 1e-4
@@ -145,7 +144,6 @@ def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: s
     chosen = known.select(key.alias("id"), lang.alias("lang")).where("id is not null").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).limit(sample * LANGUAGES).select("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("language ID")
         for batch in batches:
             for i in range(batch.num_rows):
                 x, any_letter = features(batch.column(2)[i].as_py())
@@ -170,7 +168,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     shown = [*dict.fromkeys((id_col, *keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("language ID")
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from sys import getsizeof
 from typing import Any
 
 #: White space as tokenizers have it: Python's, without the four separator controls.
@@ -11,61 +12,34 @@ _SPACE, _DARK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _CHUNKS = re.compile(rf" ?{_DARK}+|{_SPACE}+(?!{_DARK})|{_SPACE}+")
 
 
-_HELD: dict[str, Callable[[], None]] = {}
-
-
-def hold(operator: str, forget: Callable[[], None] = lambda: None) -> None:
-    """Says that a task of ``operator`` runs in this Python worker and how to free what it remembers; what other operators remember here is freed.
-
-    Workers serve many stages, and each may remember as much as a worker can spare.
-    """
-    others = [o for o in _HELD if o != operator]
-    for other in others:
-        _HELD.pop(other)()
-    _HELD[operator] = forget
-    if others:
-        trim()
-
-
-def trim() -> None:
-    """Gives memory that is no longer used back to the system, which allocators otherwise keep while a worker idles."""
-    import ctypes
-
-    import pyarrow
-
-    pyarrow.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library: it keeps what it keeps
-        pass
-
-
 class Unsafe(Exception):
     """A piece that white space beside it could change."""
 
 
 class Memory(dict):
-    """What ``make`` returned for each key.
+    """What ``make`` returned for each key, in at most about ``room`` bytes.
 
-    Holds at most ``most`` keys and as many older ones: when it is full, what it holds becomes the older part, and the part before
-    that is forgotten.  Keys in use thus stay.
+    When half of the room is full, what it holds becomes the older part, and the part before that is forgotten.  Keys in use thus stay.
+    A memory belongs to the task that made it and goes with it: nothing is kept in a worker between tasks.
     """
 
-    def __init__(self, make: Callable[[Any], Any], most: int):
-        super().__init__()
-        self.make, self.most, self.older = make, most, {}
+    #: Fixed value: about what a key takes in a dictionary besides the objects themselves.
+    ENTRY = 110
 
-    def forget(self) -> None:
-        self.older = {}
-        self.clear()
+    def __init__(self, make: Callable[[Any], Any], room: int):
+        super().__init__()
+        self.make, self.room, self.used, self.older = make, room // 2, 0, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
+        size = self.ENTRY + getsizeof(key) + getsizeof(value)
+        if self.used + size > self.room:
             self.older = dict(self)
             self.clear()
+            self.used = 0
+        self.used += size
         self[key] = value
         return value
 
@@ -78,13 +52,13 @@ class SpaceLedPieces:
     Any other text is cut by a pattern into runs of white space and dark runs (with their leading space), which are looked up in the same way.
     """
 
-    def __init__(self, encode: Callable[[str], Any], most: int = 300_000, specials: Iterable[str] = ()):
+    def __init__(self, encode: Callable[[str], Any], room: int = 24 << 20, specials: Iterable[str] = ()):
         def led(piece: str):
             if piece != "\n" and (not piece or piece[-1].isspace() or piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())):
                 raise Unsafe
             return encode(piece if piece[0] == "\n" else " " + piece)
 
-        self.led, self.literal, self.specials = Memory(led, most), Memory(encode, most), [*specials]
+        self.led, self.literal, self.specials = Memory(led, room), Memory(encode, room // 4), [*specials]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
 
     def values(self, text: str) -> list[Any]:
@@ -112,8 +86,8 @@ class SpacelessPieces:
     ``folds``: the tokenizer lower-cases, so texts of ASCII alone are folded at once, which makes fewer distinct pieces; not if a special string might be in them.
     """
 
-    def __init__(self, encode: Callable[[str], Any], most: int = 300_000, folds: bool = False):
-        self.found, self.folds = Memory(encode, most), folds
+    def __init__(self, encode: Callable[[str], Any], room: int = 48 << 20, folds: bool = False):
+        self.found, self.folds = Memory(encode, room), folds
 
     def values(self, text: str) -> list[Any]:
         if self.folds and text.isascii() and "<" not in text:
@@ -134,7 +108,7 @@ class LibraryParts:
     ``pack``), so that ``word,`` and ``word.`` cost one call of the model.  A stretch with a special string in it goes through the library as a whole.
     """
 
-    def __init__(self, path: str, pack: Callable[[list[int]], bytes], most: int = 300_000):
+    def __init__(self, path: str, pack: Callable[[list[int]], bytes], room: int = 24 << 20):
         import json
 
         import regex
@@ -162,7 +136,7 @@ class LibraryParts:
         def part(text: str) -> bytes:
             return pack([t.id for t in tokenize(text if text.isalnum() and text.isascii() else text.encode().decode("latin-1").translate(printed))])
 
-        self.parts = Memory(part, most)
+        self.parts = Memory(part, room)
 
     def ids(self, stretch: str) -> bytes:
         last = max(stretch, default="")

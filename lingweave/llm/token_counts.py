@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import path_exists, quoted, scratch_path, stored, text_or_empty
-from .pieces import hold
 
 CACHE_SCHEMA = "digest binary, version binary, n_tokens long"
 
@@ -29,25 +28,15 @@ def tokenizer_version(tokenizer_path: str) -> bytes:
         return hashlib.sha256(f.read()).digest()
 
 
-def _counter(tokenizer_path: str):
+def counter(tokenizer_path: str):
+    """A function that counts a text's tokens; what it remembers goes with it."""
     from .pieces import LibraryParts, SpaceLedPieces
 
     library = LibraryParts(tokenizer_path, lambda ids: bytes(len(ids)))
-    pieces = SpaceLedPieces(lambda s: len(library.ids(s)), specials=library.specials)
+    pieces = SpaceLedPieces(lambda s: len(library.ids(s)), room=48 << 20, specials=library.specials)
     return lambda text: sum(pieces.values(text))
 
 
-_COUNTERS: dict = {}
-
-
-def counter(tokenizer_path: str):
-    """A function that counts a text's tokens, made once in each Python worker."""
-    hold("token counts", _COUNTERS.clear)
-    if tokenizer_path not in _COUNTERS:
-        _COUNTERS[tokenizer_path] = _counter(tokenizer_path)
-    return _COUNTERS[tokenizer_path]
-
-
 def _encode_misses(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, quoted, remainder, text_or_empty
-from .pieces import Memory, hold
+from .pieces import Memory
 
 #: Parameters: texts of either label to learn from at most; texts of the sample that a feature must occur in; FTRL's alpha, beta, L1 and L2; passes.
 SAMPLE, MIN_TEXTS, ALPHA, BETA, L1, L2, PASSES = 8_000, 3, 0.15, 1.0, 4.0, 0.1, 4
@@ -41,16 +41,18 @@ def _word(piece: str) -> int:
     return h("w" + word, WORD_BITS) << FIVE_BITS + FOUR_BITS | h("5" + word[:5], FIVE_BITS) << FOUR_BITS | h("4" + word[:4], FOUR_BITS)
 
 
-_WORDS = Memory(_word, 300_000)
+#: Parameter: bytes of the words whose hashes a task remembers.
+WORD_ROOM = 32 << 20
 
 
-def start_task() -> None:
-    hold("toxicity", _WORDS.forget)
+def word_memory() -> Memory:
+    """Hashes of words, for one task."""
+    return Memory(_word, WORD_ROOM)
 
 
-def feature_indices(text: str) -> np.ndarray:
+def feature_indices(text: str, hashes: Memory) -> np.ndarray:
     """The hashed features of a whole text, with repeats."""
-    words = np.fromiter(map(_WORDS.__getitem__, text.split()), np.int64)
+    words = np.fromiter(map(hashes.__getitem__, text.split()), np.int64)
     words = words[words >= 0]
     word, five, four = words >> FIVE_BITS + FOUR_BITS, words >> FOUR_BITS & (1 << FIVE_BITS) - 1, words & (1 << FOUR_BITS) - 1
     mix = lambda a, b, k: (a * 0x9E3779B1 + b * 0x85EBCA77 + k) * 0xC2B2AE3D >> 13 & (1 << PAIR_BITS) - 1
@@ -93,13 +95,13 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": None}
 
-    def score(self, text: str) -> float:
+    def score(self, text: str, hashes: Memory) -> float:
         if self.intercept is None:
             return 0.0
         if self.known is None:
             self.known = np.zeros(SIZE, bool)
             self.known[self.at] = True
-        at = feature_indices(text)
+        at = feature_indices(text, hashes)
         at = np.unique(at[self.known[at]])
         return float(1 / (1 + np.exp(-np.clip(self.weights[np.searchsorted(self.at, at)].sum() + self.intercept, -30, 30))))
 
@@ -116,9 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
     chosen = known.where("label > 0").orderBy(least, "id").limit(sample).union(known.where("label <= 0").orderBy(least, "id").limit(sample)).select("id", (F.col("label") > 0).cast("int").alias("label"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
+        hashes = word_memory()
         for batch in batches:
-            found = [np.unique(feature_indices(t)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            found = [np.unique(feature_indices(t, hashes)).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["place", "label", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +145,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shown = [*dict.fromkeys((id_col, *keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
+        hashes = word_memory()
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            scores = [model.score(t, hashes) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*shown, named])
 
     schema = docs.select([F.col(quoted(n)) for n in shown]).schema.add(named, "double")
