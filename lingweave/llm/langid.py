@@ -4,7 +4,8 @@ Features are counts of hashed character 1- to 3-grams of the lower-cased text, w
 logarithms are scaled to length 1.  A machine per pair of families votes for the family, a machine per pair of languages of that family votes
 for the language; ties go to the larger sum of margins.
 
-The machines are fitted on a bounded sample: for each language at most ``SAMPLE`` texts, those with the least hash of their id.
+The machines are fitted on a bounded sample: ids are dealt to ``BUCKETS`` buckets by their hash, and of each language and bucket at most ``IN_BUCKET`` texts are taken, those with the
+least hash of their id.  Every language that occurs is learned.  Each machine is fitted by a task of its own, from the texts of its two sides; only weights come to the driver.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, or where nothing could be learned (no labelled rows);
 with one learned language, that one with score 1; repeated rows are judged each; other columns are ignored.
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, remainder
+from .common import checkpointed, fresh, quoted, remainder, stored
 
-#: Parameters: texts per language to learn from at most, languages at most, hashed features, passes, weight of the margin.
-SAMPLE, LANGUAGES, DIMENSIONS, PASSES, REGULAR = 300, 500, 1 << 15, 12, 1e-4
+#: Parameters: buckets of ids, texts of a language to learn from at most in each; hashed features, passes, weight of the margin; bytes of ids that may be broadcast.
+BUCKETS, IN_BUCKET, DIMENSIONS, PASSES, REGULAR, BROADCAST_BYTES = 50, 6, 1 << 15, 12, 1e-4, 32 << 20
 
 #: Language codes by family; a code that is in none is a family of its own.
 FAMILIES = {
@@ -70,41 +71,49 @@ def features(text: str) -> tuple[np.ndarray, bool]:
     return x / max(float(np.sqrt(x @ x)), 1e-9), any_letter
 
 
-def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A linear machine with a margin: averaged stochastic subgradient descent on the hinge loss; y is -1 or 1."""
-    w, mean, t, order = np.zeros(x.shape[1], np.float64), np.zeros(x.shape[1], np.float64), 0, np.random.default_rng(7)
+def machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """A linear machine with a margin: averaged stochastic subgradient descent on the hinge loss; rows are (features that are not zero, values), y is -1 or 1."""
+    w, mean, t, order = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0, np.random.default_rng(7)
     weight = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
     for _ in range(PASSES):
         for i in order.permutation(len(y)):
             t += 1
-            rate = 1 / (REGULAR * (t + 1e4 / 4))
-            if y[i] * (w @ x[i]) < 1:
-                w = w * (1 - rate * REGULAR) + rate * weight[y[i]] * y[i] * x[i]
-            else:
-                w *= 1 - rate * REGULAR
+            rate, (at, x) = 1 / (REGULAR * (t + 1e4 / 4)), rows[i]
+            inside = y[i] * (w[at] @ x) < 1
+            w *= 1 - rate * REGULAR
+            if inside:
+                w[at] += rate * weight[y[i]] * y[i] * x
             mean += (w - mean) / t
     return mean.astype(np.float32)
 
 
+def machine_names(langs: list[str]) -> list[tuple[str, str, str]]:
+    """The machines that these languages ask for: ``(family, a, b)`` for languages a and b of a family, and ``("", a, b)`` for families a and b."""
+    families: dict[str, list[str]] = {}
+    for lang in sorted(set(langs)):
+        families.setdefault(family_of(lang), []).append(lang)
+    within = [(f, a, b) for f, own in sorted(families.items()) for a, b in itertools.combinations(own, 2)]
+    return [("", a, b) for a, b in itertools.combinations(sorted(families), 2)] + within
+
+
 class Model:
-    """Machines for pairs of families and for pairs of languages within each."""
+    """Machines for pairs of families and for pairs of languages within each: ``machines`` holds the weights by name (see ``machine_names``).
+
+    Weights travel as 16-bit numbers, 64 kB for each machine.
+    """
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, langs: list[str], machines: dict[tuple[str, str, str], np.ndarray]):
         self.families: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             self.families.setdefault(family_of(lang), []).append(lang)
-        lang_of, family = np.array(langs), np.array([family_of(g) for g in langs])
-        self.top = self._pairs(sorted(self.families), x, family)
-        self.within = {f: self._pairs(own, x, lang_of) for f, own in self.families.items()}
+        self.top = self._pairs("", sorted(self.families), machines)
+        self.within = {f: self._pairs(f, own, machines) for f, own in self.families.items()}
 
     @staticmethod
-    def _pairs(names: list[str], x: np.ndarray, of: np.ndarray):
+    def _pairs(step: str, names: list[str], machines: dict[tuple[str, str, str], np.ndarray]):
         pairs = [*itertools.combinations(range(len(names)), 2)]
-        rows = []
-        for i, j in pairs:
-            either = (of == names[i]) | (of == names[j])
-            rows.append(_machine(x[either], np.where(of[either] == names[i], 1, -1)))
-        return names, pairs, np.array(rows, np.float32).reshape(len(rows), x.shape[1])
+        rows = [machines[step, names[i], names[j]] for i, j in pairs]
+        return names, pairs, np.array(rows, np.float16).reshape(len(rows), DIMENSIONS)
 
     @staticmethod
     def _choose(machines, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +131,9 @@ class Model:
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language of each row and a score from 0 to 1: the product of the squashed least margins of both steps."""
+        if self.top[2].dtype == np.float16:
+            wide = lambda step: (*step[:2], step[2].astype(np.float32))
+            self.top, self.within = wide(self.top), {f: wide(step) for f, step in self.within.items()}
         squash = lambda m: 1 / (1 + np.exp(-np.clip(6 * m, -30, 30)))
         best, margin = self._choose(self.top, x)
         out, score = [""] * len(x), squash(margin)
@@ -135,32 +147,50 @@ class Model:
         return out, score
 
 
-def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fits the machines on rows of ``docs`` where ``learn_from`` holds and the language is known; None if there are none."""
+def sample(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``lang, id, content``: the texts to learn from, one for each id and language (the least text where an id repeats)."""
     lang, key = F.col(quoted(lang_col)), F.col(quoted(id_col)).cast("string")
-    known = docs.where(learn_from & lang.isNotNull() & F.col(quoted(text_col)).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # Ids alone pass through the window, and at most SAMPLE of each language leave each task.
-    chosen = known.select(key.alias("id"), lang.alias("lang")).where("id is not null").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).limit(sample * LANGUAGES).select("id")
+    known = docs.where(learn_from & lang.isNotNull() & F.col(quoted(text_col)).isNotNull() & key.isNotNull())
+    place = F.xxhash64("id")
+    # A language that most rows have is dealt to BUCKETS tasks, and no more than IN_BUCKET ids of a bucket leave each task before.
+    order = Window.partitionBy("lang", "bucket").orderBy(place, "id")
+    ids = known.select(key.alias("id"), lang.alias("lang")).distinct().withColumn("bucket", F.pmod(F.xxhash64("id", F.lit("bucket")), F.lit(BUCKETS)))
+    chosen = checkpointed(ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= IN_BUCKET).select("id", "lang"))
+    if (chosen.agg(F.sum(F.octet_length("id") + F.octet_length("lang") + 48)).first()[0] or 0) <= BROADCAST_BYTES:
+        chosen = F.broadcast(chosen)
+    texts = known.select(key.alias("id"), lang.alias("lang"), F.col(quoted(text_col)).alias("content")).join(chosen, ["id", "lang"], "left_semi")
+    return texts.groupBy("lang", "id").agg(F.min("content").alias("content"))
+
+
+def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Fits the machines on rows of ``docs`` where ``learn_from`` holds and the language is known; None if there are none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, any_letter = features(batch.column(2)[i].as_py())
+            for lang, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x, any_letter = features(text)
                 if any_letter:
                     on = np.flatnonzero(x)
-                    yield pa.RecordBatch.from_pydict({"id": [batch.column(0)[i].as_py()], "lang": [batch.column(1)[i].as_py()], "at": [on.astype("<u4").tobytes()], "x": [x[on].astype("<f4").tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "id": [key], "at": [on.astype("<u2").tobytes()], "x": [x[on].astype("<f4").tobytes()]})
 
-    texts = known.select(key.alias("id"), lang.alias("lang"), F.col(quoted(text_col)).alias("content"))
-    # The sample's ids are bounded by SAMPLE * LANGUAGES, so they may be broadcast.
-    rows = texts.join(F.broadcast(chosen.distinct()), "id", "left_semi").mapInArrow(run, "id string, lang string, at binary, x binary").toPandas()
-    if not len(rows):
+    rows = stored(sample(docs, learn_from, id_col, text_col, lang_col).mapInArrow(featured, "lang string, id string, at binary, x binary"), "language-sample")
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not langs:
         return None
-    rows = rows.sort_values(["lang", "id", "at", "x"]).groupby("lang").head(sample)
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (at, values) in enumerate(zip(rows["at"], rows["x"], strict=True)):
-        x[i, np.frombuffer(at, "<u4")] = np.frombuffer(values, "<f4")
-    return Model(x, list(rows["lang"]))
+    names = machine_names(langs)
+    # Each side of a machine as rows (machine, language, label), so that texts meet their machines in a join.
+    sides = [(n, lang, y) for n, (step, a, b) in enumerate(names) for lang in langs for y, side in ((1, a), (-1, b)) if (lang == side if step else family_of(lang) == side)]
+
+    def train(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("lang", "ascending"), ("id", "ascending")])
+        found = [(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(x, "<f4")) for at, x in zip(part.column("at").to_pylist(), part.column("x").to_pylist(), strict=True)]
+        return pa.table({"machine": part.column("machine").slice(0, 1), "w": [machine(found, part.column("y").to_numpy()).astype("<f2").tobytes()]})
+
+    fitted = []
+    if sides:
+        of = docs.sparkSession.createDataFrame(sides, "machine int, lang string, y int")
+        fitted = rows.join(F.broadcast(of), "lang").repartition(len(names), "machine").groupBy("machine").applyInArrow(train, "machine int, w binary").collect()
+    return Model(langs, {names[r["machine"]]: np.frombuffer(r["w"], "<f2") for r in fitted})
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

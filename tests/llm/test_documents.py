@@ -198,6 +198,64 @@ def test_language_edges(spark):
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_votes_equal_a_plain_loop():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = {g: [" ".join("".join(rng.choice(list(letters), 4)) for _ in range(12)) for _ in range(12)] for g, letters in (("da", "abcde"), ("en", "cdefg"), ("de", "efghi"), ("es", "ijklm"), ("pt", "klmno"), ("fi", "pqrst"))}
+    rows = [(g, langid.features(t)[0]) for g, own in texts.items() for t in own]
+    sparse = lambda x: (np.flatnonzero(x), x[np.flatnonzero(x)])
+    machines = {}
+    for step, a, b in langid.machine_names(list(texts)):
+        side = [(x, 1 if (g if step else langid.family_of(g)) == a else -1) for g, x in rows if (g if step else langid.family_of(g)) in (a, b)]
+        machines[step, a, b] = langid.machine([sparse(x) for x, _ in side], np.array([y for _, y in side]))
+        # The same by whole vectors and without averages kept aside.
+        w, means, t = np.zeros(langid.DIMENSIONS), [], 0
+        order, y = np.random.default_rng(7), np.array([y for _, y in side])
+        for _ in range(langid.PASSES):
+            for i in order.permutation(len(y)):
+                t += 1
+                rate = 1 / (langid.REGULAR * (t + 2500))
+                push = y[i] * (w @ side[i][0]) < 1
+                w = w * (1 - rate * langid.REGULAR) + (rate * len(y) / (2 * (y == y[i]).sum()) * y[i] * side[i][0] if push else 0)
+                means.append(w[:50].copy())
+        assert np.allclose(np.mean(means, axis=0), machines[step, a, b][:50], rtol=1e-3, atol=1e-5)
+    model = langid.Model(list(texts), machines)
+    got, _ = model.predict(np.array([x for _, x in rows]))
+
+    def plain(x, step, names):
+        votes = {n: [0, 0.0] for n in names}
+        for a, b in combinations(sorted(names), 2):
+            margin = float(machines[step, a, b] @ x)
+            votes[a if margin > 0 else b][0] += 1
+            votes[a][1] += margin
+            votes[b][1] -= margin
+        return max(sorted(votes), key=lambda n: votes[n])
+
+    families = {f: [g for g in texts if langid.family_of(g) == f] for f in map(langid.family_of, texts)}
+    for (g, x), found in zip(rows, got, strict=True):
+        family = plain(x, "", families)
+        assert found == plain(x, family, families[family])
+    assert sum(g == found for (g, _), found in zip(rows, got, strict=True)) >= 0.9 * len(rows)
+
+
+def test_many_languages_and_repeated_ids(spark):
+    rng = random.Random(3)
+    rows, langs = [], []
+    for n in range(70):
+        own = [chr(0x100 + rng.randrange(400)) for _ in range(6)]
+        for i in range(4):
+            rows.append((n * 10 + i, " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(20))))
+            langs.append(f"q{n}")
+    rows += [(5, "one id, many rows " + str(i % 3)) for i in range(500)]
+    langs += ["en"] * 500
+    df = frame(spark, rows, langs=langs)
+    taken = langid.sample(df, F.lit(True), "doc_id", "text", "lang").collect()
+    assert len(taken) == 70 * 4 + 1
+    model = langid.fit(df, F.lit(True))
+    assert sum(map(len, model.families.values())) == 71
+
+
 # --- toxicity ---
 
 
