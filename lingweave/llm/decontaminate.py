@@ -50,25 +50,29 @@ def folded(word: Column) -> Column:
 def anchors(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The anchors of all windows: ``term, item_id, other, shift`` (the second rarest term and its distance), ``left, right`` (the item's words outward), ``need``.
 
-    ``documents`` has ``content``; ``items`` has ``item_id, content``.
+    ``documents`` has ``content``; ``items`` has ``item_id, content``.  Items travel as rows of one word each, so what is sent grows with their words, however long one of them is.
     """
     tokens = items.where("item_id is not null").select("item_id", F.transform(words(F.col("content")), folded).alias("item")).where(F.size("item") > 0).distinct()
-    tokens = checkpointed(tokens.withColumn("need", F.least(F.lit(window), F.size("item"))))
-    vocabulary = checkpointed(tokens.select(F.explode("item").alias("term")).distinct())
+    numbered = tokens.select(F.monotonically_increasing_id().alias("row"), "item_id", "item")
+    one = numbered.select("row", "item_id", F.size("item").alias("size"), F.posexplode("item").alias("place", "term"))
+    placed = stored(one.withColumn("need", F.least(F.lit(window), F.col("size"))), "item-words")
+    vocabulary = checkpointed(placed.select("term").distinct())
     seen = documents.select(F.explode(words(F.col("content"))).alias("word")).select(folded(F.col("word")).alias("term"))
     found = [seen.join(F.broadcast(block), "term", "left_semi").groupBy("term").count() for block in in_blocks(vocabulary)]
     counts = checkpointed(reduce(DataFrame.union, found))
-    placed = tokens.select("item_id", "item", "need", F.posexplode("item").alias("place", "term"))
-    ranked = placed.join(counts, "term", "left")
-    # Every window that a word lies in, by the window's start.
-    first, last = F.greatest(F.lit(0), F.col("place") - F.col("need") + 1), F.least(F.col("place"), F.size("item") - F.col("need"))
-    in_windows = ranked.select("item_id", "item", "need", F.explode(F.sequence(first, last)).alias("start"), F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "place").alias("t"))
-    rarest = in_windows.groupBy("item_id", "item", "need", "start").agg(F.min("t").alias("a"), F.sort_array(F.collect_list("t")).alias("all")).where("a.n > 0")
-    second = F.when(F.size("all") > 1, F.element_at("all", 2))
-    pairs = rarest.select("item_id", "item", "need", "a", second.alias("b")).select("item_id", "item", "need", F.col("a.term").alias("term"), F.col("a.place").alias("at"), F.col("b.term").alias("other"), (F.col("b.place") - F.col("a.place")).alias("shift")).distinct()
-    span = F.least(F.lit(window - 1), F.col("at"))
-    left = F.when(span > 0, F.reverse(F.slice("item", F.col("at") - span + 1, F.greatest(span, F.lit(1))))).otherwise(F.array().cast("array<string>"))
-    return pairs.select("term", "item_id", F.coalesce("other", "term").alias("other"), F.coalesce("shift", F.lit(0)).alias("shift"), left.alias("left"), F.slice("item", F.col("at") + 2, window - 1).alias("right"), "need")
+    ranked = placed.join(counts, "term", "left").withColumn("t", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "place"))
+    # Frames of one window's words from its start on, and of the words on either side of a place.
+    order = Window.partitionBy("row").orderBy("place")
+    framed = ranked.select(
+        "row", "item_id", "need", "size", "place",
+        F.sort_array(F.collect_list("t").over(order.rowsBetween(0, window - 1))).alias("all"),
+        F.reverse(F.collect_list("term").over(order.rowsBetween(1 - window, -1))).alias("left"),
+        F.collect_list("term").over(order.rowsBetween(1, window - 1)).alias("right"),
+    )
+    framed = stored(framed, "windows")
+    rarest = framed.where("place <= size - need").select("row", F.get("all", F.lit(0)).alias("a"), F.get("all", F.lit(1)).alias("b")).where("a.n > 0")
+    pairs = rarest.select("row", F.col("a.term").alias("term"), F.col("a.place").alias("place"), F.coalesce("b.term", "a.term").alias("other"), F.coalesce(F.col("b.place") - F.col("a.place"), F.lit(0)).alias("shift")).distinct()
+    return pairs.join(framed.select("row", "place", "item_id", "need", "left", "right"), ["row", "place"]).select("term", "item_id", "other", "shift", "left", "right", "need").distinct()
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -90,26 +94,28 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     ``exact``: a run of equal words at least as long as a window.  ``proximity``: the two rarest terms of a window, at most ``slop`` words from their distance in it.
     """
     docs = documents.select("doc_id", "content")
-    known = stored(anchors(docs, items, window).withColumn("anchor", F.monotonically_increasing_id()), "anchors")
+    known = stored(anchors(docs, items, window), "anchors")
     terms = checkpointed(known.select("term").union(known.select("other")).distinct())
     index = postings(docs, terms)
 
-    # The list of the rarest term meets that of the second, moved by their offset.
-    rarest = index.join(known.select("term", "anchor", "other", "shift"), "term").select("anchor", "doc_id", "digest", "at", F.col("other").alias("term2"), (F.col("at") + F.col("shift")).alias("expected"))
+    # The list of the rarest term meets that of the second, moved by their offset; each offset once, whatever number of windows has it.
+    offsets = known.select("term", "other", "shift").distinct()
+    rarest = index.join(offsets, "term").select("term", "other", "shift", "doc_id", "digest", "at", (F.col("at") + F.col("shift")).alias("expected"))
     second = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("at").alias("a"))
-    where = (F.col("term2") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))
+    where = (F.col("other") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))
     where = where & ((F.col("expected") == F.col("a")) if not slop else (F.abs(F.col("expected") - F.col("a")) <= slop))
-    both = stored(rarest.join(second, where, "left_semi").select("anchor", "doc_id", "digest", "at"), "candidates")
+    both = stored(rarest.join(second, where, "left_semi").select("term", "other", "shift", "doc_id", "digest", "at"), "candidates")
 
-    # The words of the documents where they met, stored, so that each text is split once however many candidates it holds.
+    # The words around the places where they met; each text is split once however many candidates it holds.
     keys = checkpointed(both.select("doc_id", F.unhex("digest").alias("digest")).distinct())
     texts = by_keys(docs, keys, "left_semi", text_col="content").select(F.col("doc_id").alias("d"), F.md5("content").alias("g"), F.transform(words(F.col("content")), folded).alias("doc")).distinct()
     texts = stored(texts, "candidate-words")
-    around = both.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).join(known.select("anchor", "item_id", "need", "left", "right"), "anchor")
     span = F.least(F.lit(window - 1), F.col("at"))
     before = F.when(span > 0, F.reverse(F.slice("doc", F.col("at") - span + 1, F.greatest(span, F.lit(1))))).otherwise(F.array().cast("array<string>"))
     after = F.slice("doc", F.col("at") + 2, window - 1)
-    run = around.select("doc_id", "digest", "item_id", "need", (F.col("at") + 1).alias("place"), _equal_run(before, F.col("left")).alias("l"), _equal_run(after, F.col("right")).alias("r"))
+    around = both.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).select("term", "other", "shift", "doc_id", "digest", "at", before.alias("before"), after.alias("after"))
+    met = around.join(known, ["term", "other", "shift"])
+    run = met.select("doc_id", "digest", "item_id", "need", (F.col("at") + 1).alias("place"), _equal_run(F.col("before"), F.col("left")).alias("l"), _equal_run(F.col("after"), F.col("right")).alias("r"))
     exact = F.col("l") + F.col("r") + 1 >= F.col("need")
     shown = run.select("doc_id", "digest", "item_id", F.when(exact, "exact").otherwise("proximity").alias("kind"), F.when(exact, F.col("place") - F.col("l")).otherwise(F.col("place")).alias("first"), F.when(exact, F.col("place") + F.col("r")).otherwise(F.col("place")).alias("last"))
     return shown if slop else shown.where("kind = 'exact'")
