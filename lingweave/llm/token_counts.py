@@ -59,7 +59,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``; new counts are appended to the cache at ``cache_path``.
 
     Two passes read the texts: the first gives the digests and the one row that stands for each missing digest, the second
-    sends those rows alone to the encoder.  A digest that a third of all rows share is thus encoded once.
+    sends those rows alone to the encoder.  A digest that a third of all rows share is thus encoded once, and copies of it are dealt by their ids, not to one task.
     """
     spark = docs.sparkSession
     cache_path = cache_path or scratch_path(spark, "token-cache")
@@ -67,9 +67,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     text = text_or_empty(text_col)
     keyed = docs.select(F.col(quoted(id_col)).alias("doc_id"), text.alias("content"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
-    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(read_cache(spark, cache_path, version), "digest", "left_anti")
-    chosen = missing.select(F.col("digest").alias("d"), "first_id")
-    todo = keyed.join(chosen, (keyed.digest == chosen.d) & keyed.doc_id.eqNullSafe(chosen.first_id), "left_semi").select("digest", "content")
+    # The row that stands for a digest is that with the least hash of its id; rows that repeat both lie in one partition of the join and are one row after it.
+    placed = keyed.select("digest", F.xxhash64("doc_id").alias("place"), "content")
+    missing = placed.groupBy("digest").agg(F.min("place").alias("place")).join(read_cache(spark, cache_path, version), "digest", "left_anti")
+    todo = placed.join(missing, ["digest", "place"], "left_semi").groupBy("digest", "place").agg(F.first("content").alias("content")).select("digest", "content")
     fresh = todo.mapInArrow(_encode_misses(tokenizer_path), "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
 

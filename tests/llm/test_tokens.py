@@ -75,6 +75,17 @@ def test_token_counts_and_cache(spark, docs, libraries):
     assert token_counts.count_tokens(docs.limit(0), BYTE).count() == 0
 
 
+def test_repeated_rows_are_encoded_once(spark, libraries):
+    path = scratch_path(spark, "cache")
+    rows = spark.createDataFrame([(1, "a row that comes again")] * 40 + [(None, "of no id")] * 3 + [(2, "a row that comes again"), (3, "word " * 100_000)], "doc_id long, text string").repartition(5)
+    found = token_counts.count_tokens(rows, BYTE, path).collect()
+    assert spark.read.parquet(path).count() == 3
+    assert len(found) == 45 and {r.n_tokens for r in found if r.doc_id == 3} == {len(ids_of(libraries[0], "word " * 100_000))}
+    again = spark.createDataFrame([(9, "of no id"), (9, "of no id"), (9, "new"), (9, "new")], "doc_id long, text string")
+    assert token_counts.count_tokens(again, BYTE, path).count() == 4
+    assert spark.read.parquet(path).count() == 4
+
+
 def test_bpe_round_trip(spark, docs, libraries):
     rows = sorted(((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.encode_decode(docs, BYTE).collect()), key=repr)
     assert rows == sorted(((r.doc_id, tuple(ids_of(libraries[0], r.text)), r.text or "") for r in docs.collect()), key=repr)
