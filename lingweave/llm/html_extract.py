@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import quoted
 
 #: Parameters: pages to learn from at most; cost of a cut between neighbours, and its decay for each step between them in the tree.
-SAMPLE, SMOOTH, DECAY = 2_000, 1.2, 0.55
+SAMPLE, SMOOTH, DECAY = 2_000, 2.0, 0.55
 
 #: Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = "script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|audio|video|title|button"
+RAW_TEXT = frozenset("script style textarea title".split())
+DROPPED = frozenset("noscript template select iframe object svg math canvas audio video button".split())
 CLOSED_BY_BLOCKS = frozenset(("p",))
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -45,16 +46,106 @@ BOILERPLATE_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content entry post story main body text prose".split())
 NEUTRAL_FOR_WORDS = frozenset("html body main article".split())
 
-#: Of the dropped elements, svg and math may be empty, and raw text that is not closed runs to the end; of others that are not closed only the tag goes.  A head needs no rule: what it may hold has no text or is dropped.
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({DROPPED})(?=[\s/>])(?:(?:(?<=<svg)|(?<=<math))[^>]*/>|[^>]*>.*?(?:</\1\s*>|(?=<body\b))|(?:(?<=<script)|(?<=<style)|(?<=<textarea)|(?<=<title))[^>]*>.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+_NAME, _GAP, _SPACE, _KEY, _PLAIN = (re.compile(p) for p in (r"[a-zA-Z][^\s/>]*", r"[\s/]*", r"\s*", r"=?[^\s/>=]*", r"[^\s>]*"))
+
+
+class Tokens:
+    """A page as a stream of text, start tags and end tags; a state machine that passes each character once.
+
+    Comments and what a page hides as raw text are left out.  Of elements in ``DROPPED`` all goes up to the end tag that belongs to it, or the tag alone where none follows; script, style and
+    textarea without end tag run to the end of the page, a title to the body.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        self.unclosed: set[str] = set()
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """The attributes from ``at`` on, the place after the tag's end, and whether the tag closes itself."""
+        page, found, start = self.page, [], at
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= len(page):  # a quote ran past the end: the tag ends at the next bracket after all
+                return found, page.find(">", start) + 1, False
+            if page[at] == ">":
+                return found, at + 1, page[at - 1] == "/"
+            m = _KEY.match(page, at)
+            key, at = m[0].lower(), m.end()
+            equals = _SPACE.match(page, at).end()
+            if not page.startswith("=", equals):
+                found.append((key, ""))
+                continue
+            at = _SPACE.match(page, equals + 1).end()
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and self.last[quote] > at:
+                end = page.find(quote, at + 1)
+                found.append((key, page[at + 1 : end]))
+                at = end + 1
+            else:
+                m = _PLAIN.match(page, at)
+                found.append((key, m[0]))
+                at = m.end()
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where an element in ``DROPPED`` ends, elements of its name within it counted; ``at`` itself if no end tag follows."""
+        if name in self.unclosed:
+            return at
+        depth, end = 1, at
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(self.page, at):
+            depth += -1 if m[1] else 1
+            if m[1]:
+                end = m.end()
+            if not depth:
+                return end
+        if end == at:
+            self.unclosed.add(name)
+        return end
+
+    def __iter__(self) -> Iterator[tuple[str, str, list]]:
+        """``("text", text, [])``, ``("start", name, attributes)``, ``("end", name, [])``; ``("gap", name, [])`` for what is dropped."""
+        page, at = self.page, 0
+        while at < len(page):
+            i = page.find("<", at)
+            if i < 0 or self.last[">"] < i and not page.startswith("<!--", i):
+                yield "text", page[at:], []
+                return
+            if i > at:
+                yield "text", page[at:i], []
+            closing = page.startswith("</", i)
+            m = _NAME.match(page, i + 1 + closing)
+            if not m:
+                if page.startswith("<!--", i):
+                    end = page.find("-->", i + 2)
+                    at = end + 3 if end >= 0 else len(page)
+                elif page.startswith("<![CDATA[", i):
+                    end = page.find("]]>", i)
+                    at = end + 3 if end >= 0 else len(page)
+                elif closing or page[i + 1 : i + 2] in ("!", "?"):
+                    at = page.find(">", i) + 1
+                else:
+                    yield "text", "<", []
+                    at = i + 1
+                continue
+            name = m[0].lower()
+            attributes, at, empty = self.attributes(m.end())
+            if closing:
+                yield "end", name, []
+            elif name in RAW_TEXT:
+                close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at) or (re.compile(r"(?=<body[\s>])", re.I).search(page, at) if name == "title" else None)
+                at = close.end() if close else len(page)
+                yield "gap", name, []
+            elif name in DROPPED:
+                if not (empty and name in ("svg", "math")):
+                    at = self.end_of(name, at)
+                yield "gap", name, []
+            else:
+                yield "start", name, attributes
+
+
 class Element:
     """An open element: its name, place, and evidence for (+) or against (-) content from it and those around it."""
 
@@ -64,7 +155,18 @@ class Element:
         self.name, self.parent, self.place, self.evidence, self.inside = name, parent, place, evidence, inside
 
 
-def _evidence(name: str, attributes: str, parent: Element) -> tuple[float, bool]:
+def _word_evidence(words: list[str], own: float, inside: bool) -> float:
+    """The evidence once a class or id of these words is known.  The outer words of a compound name the thing itself: site-footer, nav-item, comment-list."""
+    if not words or words[-1] in ("content", "body", "text") and words[0] in ("main", "article", "post", "entry"):
+        return 1.5 if words and own == 0 else own
+    if words[-1] in BOILERPLATE_WORDS or words[0] in BOILERPLATE_WORDS and len(words) < 3:
+        return own if inside and words[-1] in ("header", "head", "body", "tags", "text") else min(own, -5.0)
+    if words[0] in BOILERPLATE_WORDS:  # of longer compounds the first word says less (notice-of-intent), and within an article nothing
+        return own if inside else min(own, -2.0)
+    return 1.5 if words[-1] in CONTENT_WORDS and own == 0 else own
+
+
+def _evidence(name: str, attributes: list[tuple[str, str]], parent: Element) -> tuple[float, bool]:
     """The evidence of a new element, and whether it lies in an article: what lies in boilerplate stays boilerplate."""
     inside = parent.inside or name in CONTENT_TAGS
     own = 0.0
@@ -72,22 +174,14 @@ def _evidence(name: str, attributes: str, parent: Element) -> tuple[float, bool]
         own = -6.0
     elif name in CONTENT_TAGS:
         own = 4.0
-    if attributes:
-        for kind, a, b, c in _ATTRIBUTE.findall(attributes):
-            kind, value = kind.lower(), a or b or c
-            if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and _HIDDEN.search(value):
-                own = -6.0
-            elif kind == "role" and value.lower() in BOILERPLATE_ROLES:
-                own = -6.0
-            elif kind in ("class", "id") and name not in NEUTRAL_FOR_WORDS:
-                for token in value.split():
-                    words = [w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))]
-                    # The outer words of a compound name the thing itself: site-footer, nav-item, comment-list.
-                    if words and (words[0] in BOILERPLATE_WORDS or words[-1] in BOILERPLATE_WORDS) and not (words[-1] in ("content", "body", "text") and words[0] in ("main", "article", "post", "entry")):
-                        if not (parent.inside and words[-1] in ("header", "head", "body", "tags", "text")):
-                            own = min(own, -6.0)
-                    elif words and words[-1] in CONTENT_WORDS and own == 0:
-                        own = 1.5
+    for kind, value in attributes:
+        if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and _HIDDEN.search(value):
+            own = -6.0
+        elif kind == "role" and value.lower() in BOILERPLATE_ROLES:
+            own = -6.0
+        elif kind in ("class", "id") and name not in NEUTRAL_FOR_WORDS:
+            for token in value.split():
+                own = _word_evidence([w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))], own, parent.inside)
     if parent.evidence <= -3:
         return min(parent.evidence, own), inside
     return (own if own else parent.evidence), inside
@@ -97,7 +191,7 @@ def blocks(page: str) -> list[tuple]:
     """The blocks of a page in order: ``(text, words, linked words, kind, element)``."""
     root = Element("", None, 0, 0.0, False)
     out: list[tuple] = []
-    at, current, link, parts, linked, made = 0, root, False, [], [], 0
+    current, link, parts, linked, made = root, False, [], [], 0
 
     def flush():
         if parts:
@@ -120,20 +214,15 @@ def blocks(page: str) -> list[tuple]:
             flush()
             current = e.parent
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            stretch = page[at : m.start()]
-            parts.append(stretch)
+    for kind, name, attributes in Tokens(page):
+        if kind == "text":
+            parts.append(name)
             if link:
-                linked.append(stretch)
-        at = m.end()
-        name = m[3] or m[6]
-        if not name:
-            if m[1]:
-                parts.append(" ")
-            continue
-        name, closing = name.lower(), m[2] if m[3] else m[5]
-        if name in BLOCKS:
+                linked.append(name)
+        elif kind == "gap":
+            parts.append(" ")
+        elif name in BLOCKS:
+            closing = kind == "end"
             flush()
             link = link and not closing and name != "li"
             if closing:
@@ -144,38 +233,33 @@ def blocks(page: str) -> list[tuple]:
                 for other in CLOSED_BY_SAME.get(name, ()):
                     close(other, SCOPES[name] - {other})
                 made += 1
-                evidence, inside = _evidence(name, m[4] if m[3] else m[7], current)
+                evidence, inside = _evidence(name, attributes, current)
                 if name not in VOID:
                     current = Element(name, current, made, evidence, inside)
         elif name == "a":
-            link = not closing
+            link = kind == "start"
         elif name in ("br", "img", "input"):
             parts.append(" ")
             if link:
                 linked.append(" ")
-    parts.append(page[at:])
     flush()
     return out
 
 
-#: Weights learned from text alone, used where a sample teaches nothing: intercept, log words, share of linked words, ends like a sentence, heading, list item, paragraph.
-DEFAULT_WEIGHTS = (-1.2, 0.7, -4.0, 0.8, 0.6, -0.8, 0.8)
+#: Weights learned from text alone, used where a sample teaches nothing: intercept, log words, share of linked words, ends like a sentence, heading, list item, paragraph, leads a longer text.
+DEFAULT_WEIGHTS = (-1.2, 0.7, -4.0, 0.8, 0.6, -0.8, 0.8, 1.2)
 
 
-def text_features(block: tuple) -> tuple[float, ...]:
-    text, words, linked, kind, _ = block
-    return (1.0, min(words, 60) ** 0.5 / 3, linked / words, float(text[-1] in ".!?…:;\"'”»)"), float(kind[:1] == "h" and kind[1:].isdigit()), float(kind in ("li", "option", "td", "th", "dt", "dd")), float(kind in ("p", "blockquote", "pre")))
+def text_features(found: list[tuple]) -> Iterator[tuple[float, ...]]:
+    """For each block what its text and the block after it look like."""
+    for (text, words, linked, kind, _), after in zip(found, [*found[1:], None], strict=False):
+        leads = words <= 12 and not linked and text[-1] not in ".!?" and after is not None and after[1] > max(words, 5) and not after[2]
+        yield (1.0, min(words, 60) ** 0.5 / 3, linked / words, float(text[-1] in ".!?…:;\"'”»)"), float(kind[:1] == "h" and kind[1:].isdigit()), float(kind in ("li", "option", "td", "th", "dt", "dd")), float(kind in ("p", "blockquote", "pre")), float(leads))
 
 
 def costs(found: list[tuple], weights) -> list[float]:
     """For each block the logarithm of the odds that it is content."""
-    out = []
-    for b in found:
-        odds = b[4].evidence
-        for w, x in zip(weights, text_features(b), strict=True):
-            odds += w * x
-        out.append(max(-12.0, min(12.0, odds)))
-    return out
+    return [max(-12.0, min(12.0, b[4].evidence + sum(w * v for w, v in zip(weights, x, strict=True)))) for b, x in zip(found, text_features(found), strict=True)]
 
 
 def _steps(a: Element, b: Element) -> int:
@@ -210,38 +294,80 @@ def edges(found: list[tuple]) -> list[tuple[int, int, float]]:
 def minimum_cut(odds: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes lie on the source's side of a minimum cut: a positive entry of ``odds`` is capacity from the source, a negative one to the sink.
 
-    Shortest augmenting paths from nodes with capacity left from the source to nodes with capacity left to the sink.
+    A node whose capacity exceeds all its edges is on its own side in every minimum cut; its edges then add to its neighbours' capacities, which may settle those too.  What is left falls into
+    stretches between settled nodes, and a maximum flow through each settles them.
     """
-    n = len(odds)
-    supply = [max(0.0, x) for x in odds]
-    demand = [max(0.0, -x) for x in odds]
-    rest: list[dict[int, float]] = [{} for _ in range(n)]
+    n, eps = len(odds), 1e-9
+    odds, edges_of = list(odds), [{} for _ in range(n)]
     for i, j, c in links:
-        rest[i][j] = rest[i].get(j, 0.0) + c
-        rest[j][i] = rest[j].get(i, 0.0) + c
+        edges_of[i][j] = edges_of[i].get(j, 0.0) + c
+        edges_of[j][i] = edges_of[j].get(i, 0.0) + c
+    held, side, todo = [sum(e.values()) for e in edges_of], [None] * n, [*range(n)]
+    while todo:
+        i = todo.pop()
+        if side[i] is None and abs(odds[i]) > held[i] + eps:
+            side[i] = odds[i] > 0
+            for j, c in edges_of[i].items():
+                if side[j] is None:
+                    odds[j] += c if side[i] else -c
+                    held[j] -= c
+                    todo.append(j)
+    for start in range(n):
+        if side[start] is not None:
+            continue
+        stretch, side[start] = [start], False
+        for i in stretch:
+            for j, c in edges_of[i].items():
+                if side[j] is None and c > eps:
+                    side[j] = False
+                    stretch.append(j)
+        for i in _source_side(stretch, odds, edges_of):
+            side[i] = True
+    return side
+
+
+def _source_side(nodes: list[int], odds: list[float], edges_of: list[dict[int, float]]) -> list[int]:
+    """The nodes on the source's side of the minimum cut of connected ``nodes``, by blocking flows along shortest paths."""
+    eps, inside = 1e-9, set(nodes)
+    gives = {i: max(0.0, odds[i]) for i in nodes}
+    takes = {i: max(0.0, -odds[i]) for i in nodes}
+    rest = {i: {j: c for j, c in edges_of[i].items() if j in inside} for i in nodes}
+    if max(gives.values()) <= eps:
+        return []
+    if max(takes.values()) <= eps:
+        return nodes
     while True:
-        came = {i: -1 for i in range(n) if supply[i] > 1e-9}
-        queue, end = [*came], -1
+        level = {i: 0 for i in nodes if gives[i] > eps}
+        queue, met = [*level], False
         for i in queue:
-            if demand[i] > 1e-9:
-                end = i
-                break
+            met = met or takes[i] > eps
             for j, c in rest[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
+                if c > eps and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path, i = [], end
-        while came[i] >= 0:
-            path.append((came[i], i))
-            i = came[i]
-        push = min([supply[i], demand[end], *(rest[a][b] for a, b in path)])
-        supply[i] -= push
-        demand[end] -= push
-        for a, b in path:
-            rest[a][b] -= push
-            rest[b][a] += push
+        if not met:
+            return queue
+        arcs = {i: iter([*rest[i]]) for i in queue}
+        for start in [i for i in queue if level[i] == 0]:
+            path = [start]
+            while path and gives[start] > eps:
+                i = path[-1]
+                if takes[i] > eps:
+                    push = min([gives[start], takes[i], *(rest[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    gives[start] -= push
+                    takes[i] -= push
+                    for a, b in zip(path, path[1:], strict=False):
+                        rest[a][b] -= push
+                        rest[b][a] += push
+                    full = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if rest[a][b] <= eps), None)
+                    if full is not None:
+                        del path[full + 1 :]
+                    continue
+                j = next((j for j in arcs[i] if rest[i][j] > eps and level[j] == level[i] + 1), None)
+                if j is None:
+                    path.pop()
+                else:
+                    path.append(j)
 
 
 def main_text(page: str | None, weights=DEFAULT_WEIGHTS) -> str:
@@ -282,9 +408,10 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> tuple
         for batch in batches:
             totals: dict = {}
             for page in batch.column(0).to_pylist():
-                for b in blocks(page):
+                found = blocks(page)
+                for b, x in zip(found, text_features(found), strict=True):
                     if abs(b[4].evidence) >= 3:
-                        key = tuple(round(v, 1) for v in text_features(b)), int(b[4].evidence > 0)
+                        key = tuple(round(v, 1) for v in x), int(b[4].evidence > 0)
                         totals[key] = totals.get(key, 0) + 1
             yield pa.RecordBatch.from_pydict({"x": pa.array([list(k[0]) for k in totals], pa.list_(pa.float64())), "y": pa.array([k[1] for k in totals], pa.int32()), "n": pa.array(list(totals.values()), pa.int64())})
 
