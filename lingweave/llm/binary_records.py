@@ -8,8 +8,9 @@ with the payload ``u8 has_id | u8 bytes per id | i64 doc_id | ids``, all little-
 allows it, else four.  The index file holds the offset of each record as u64, so records can be read in any order.  A checksum is
 masked by rotating it right by 15 bits and adding ``MASK``, so that a checksum of data with checksums inside is no trivial value.
 
-Documents are dealt to shards by ranges of the id and sorted within them (nulls first, equal ids by text).  Every attempt of a task writes files of its own
+Documents are dealt to shards by ranges of the id and, for ids that many rows share, of how the text begins, and sorted within them (nulls first, equal ids by text).  Every attempt of a task writes files of its own
 names; the manifest, written by Spark's committer, lists those of the attempts that counted.  A lost executor thus costs its running tasks only.
+Data and index files go through Arrow's file systems (local folders, HDFS, S3, GCS), with credentials as Arrow finds them; the manifest goes through Spark.
 
 Defined results: a null text counts as empty, so its record holds the end id alone; rows that repeat an id have a record each; a null
 id is kept and comes first; an empty table gives a manifest without shards and an empty result.
@@ -128,7 +129,7 @@ def write_token_records(docs: DataFrame, out_dir: str, tokenizer_path: str, end_
                 index.write(np.array(offsets, "<u8").tobytes())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "n_records": [len(offsets)], "n_tokens": [n_tokens], "n_bytes": [at]})
 
-    ordered = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("content")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "content")
+    ordered = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("content")).repartitionByRange("doc_id", F.substring("content", 1, 32)).sortWithinPartitions("doc_id", "content")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{out_dir}/manifest")
     return read_manifest(docs.sparkSession, out_dir)
 

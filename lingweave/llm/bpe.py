@@ -126,24 +126,36 @@ class PrefixBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>, decoded string`` for each row: the ids of the whole text and the text decoded from them."""
+def _batches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(start, 256) for start in range(0, whole.num_rows, 256))
+
 
+def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, decodes: bool) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         bpe = PrefixBpe(tokenizer_path)  # this task's own, freed with it
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                packed = [bpe.encode(x) for x in batch.column(1).to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-                ids = np.frombuffer(b"".join(packed), np.int32)
+        for batch in (part for whole in batches for part in _batches(whole)):
+            packed = [bpe.encode(x) for x in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+            ids = np.frombuffer(b"".join(packed), np.int32)
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+            if decodes:
                 values = ids.tolist()
-                decoded = [bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                columns.append(pa.array([bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+
+    schema = f"doc_id {id_type}, ids array<int>" + (", decoded string" if decodes else "")
+    return docs.select(F.col(quoted(id_col)), text_or_empty(text_col).alias("content")).mapInArrow(run, schema)
+
 
-    return docs.select(F.col(quoted(id_col)), text_or_empty(text_col).alias("content")).mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids array<int>`` for each row: the ids of the whole text."""
+    return _coded(docs, tokenizer_path, id_col, text_col, False)
+
+
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids array<int>, decoded string`` for each row: the ids of the whole text and the text decoded from them."""
+    return _coded(docs, tokenizer_path, id_col, text_col, True)

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, by_keys, checkpointed, quoted, stored, text_or_empty
+from .common import ASCII_LOWER, ASCII_UPPER, by_keys, checkpointed, discard, quoted, stored, text_or_empty
 
 #: Parameters: words of a window; bytes of terms that are broadcast at once (more go through in blocks, each a pass of its own).
 WINDOW, BLOCK_BYTES = 13, 16 << 20
@@ -72,7 +72,10 @@ def anchors(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     framed = stored(framed, "windows")
     rarest = framed.where("place <= size - need").select("row", F.get("all", F.lit(0)).alias("a"), F.get("all", F.lit(1)).alias("b")).where("a.n > 0")
     pairs = rarest.select("row", F.col("a.term").alias("term"), F.col("a.place").alias("place"), F.coalesce("b.term", "a.term").alias("other"), F.coalesce(F.col("b.place") - F.col("a.place"), F.lit(0)).alias("shift")).distinct()
-    return pairs.join(framed.select("row", "place", "item_id", "need", "left", "right"), ["row", "place"]).select("term", "item_id", "other", "shift", "left", "right", "need").distinct()
+    sided = pairs.join(framed.select("row", "place", "item_id", "need", "left", "right"), ["row", "place"])
+    known = stored(sided.select("term", "item_id", "other", "shift", "left", "right", "need").distinct(), "anchors")
+    discard(placed, framed)
+    return known
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -94,7 +97,7 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     ``exact``: a run of equal words at least as long as a window.  ``proximity``: the two rarest terms of a window, at most ``slop`` words from their distance in it.
     """
     docs = documents.select("doc_id", "content")
-    known = stored(anchors(docs, items, window), "anchors")
+    known = anchors(docs, items, window)
     terms = checkpointed(known.select("term").union(known.select("other")).distinct())
     index = postings(docs, terms)
 
@@ -105,6 +108,7 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     where = (F.col("other") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))
     where = where & ((F.col("expected") == F.col("a")) if not slop else (F.abs(F.col("expected") - F.col("a")) <= slop))
     both = stored(rarest.join(second, where, "left_semi").select("term", "other", "shift", "doc_id", "digest", "at"), "candidates")
+    discard(index)
 
     # The words around the places where they met; each text is split once however many candidates it holds.
     keys = checkpointed(both.select("doc_id", F.unhex("digest").alias("digest")).distinct())

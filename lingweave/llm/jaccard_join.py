@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_keys, checkpointed, fresh, quoted, stored, text_digest, text_or_empty
+from .common import by_keys, checkpointed, discard, fresh, quoted, stored, text_digest, text_or_empty
 
 #: Parameters: words of a shingle; similarity as a fraction; bits of the sketch and of a chunk of it; bytes of ids that may be broadcast.
 WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 21, 16, 32 << 20
@@ -260,7 +260,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, nume
 
     left = hashes.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
     right = hashes.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-    return checkpointed(some.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    linked = checkpointed(some.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    discard(hashes)
+    return linked
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,6 +342,7 @@ def similarity_components(documents: DataFrame, id_col: str = "doc_id", text_col
     final = components(rest.union(labels.where("sid <> label").select(F.col("label").alias("a"), F.col("sid").alias("b"))))
 
     of_set = checkpointed(_with_labels(sets.select("sid", "sig", "doc"), final))
+    discard(sets, grouped, met)
     least = of_set.groupBy("label").agg(F.min("doc").alias("least"))
     known = of_set.join(least, "label").select(F.col("sig").alias("set_sig"), "label", "least")
     result = signed.select("doc_id", "digest", "n", "sig").join(known, F.col("sig") == F.col("set_sig"), "left")

@@ -8,7 +8,7 @@ Learning uses a bounded sample: at most ``SAMPLE`` labelled texts of either labe
 then set back to the share of toxic texts among all labelled rows.
 
 Defined results: a null text counts as empty; an empty text gets the score of the intercept; without labelled rows every score is 0;
-where labels of one id differ, the text counts as toxic; repeated rows are scored each; other columns are ignored.
+where labels of one id differ, the text counts as toxic; an id that many rows have is learned from once, from the least of its texts; repeated rows are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
         shift = np.log(totals[1] / totals[0]) - np.log(max(toxic, 1) / max(len(examples) - toxic, 1))
         yield pa.RecordBatch.from_pydict({"at": pa.array([-1, *at], pa.int32()), "weight": pa.array([intercept + shift, *weights], pa.float64())})
 
-    texts = docs.where(key.isNotNull()).select(key.alias("id"), text_or_empty(text_col).alias("content")).join(F.broadcast(chosen), "id")
+    # An id that many rows have counts once, with the least of its texts.
+    texts = docs.where(key.isNotNull()).select(key.alias("id"), text_or_empty(text_col).alias("content")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("content").alias("content"))
     # The order of learning is by another hash than the choice, or labels would come in runs.
     examples = texts.select(F.xxhash64("id", F.lit("order")).alias("place"), "label", "content").mapInArrow(featured, "place long, label int, at binary")
     # One task learns, from the bounded sample, in an order that does not depend on the partitions.
