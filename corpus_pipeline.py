@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingweave.llm import decontaminate, jaccard_join, langid, toxicity
-from lingweave.llm.bpe import encode_decode
-from lingweave.llm.common import fresh, quoted, remainder, stored, table
+from lingweave.llm.bpe import encode
+from lingweave.llm.common import discard, fresh, quoted, remainder, stored, table
 from lingweave.llm.queries import BYTE_BPE, tokenizer_path
 
 
@@ -49,7 +49,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of each document."""
-    return encode_decode(docs, tokenizer_path(BYTE_BPE)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return encode(docs, tokenizer_path(BYTE_BPE)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
@@ -66,7 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
