@@ -35,7 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixBpe:
     """Encodes and decodes as the tokenizer in ``path`` does, without special tokens at the ends."""
 
-    def __init__(self, path: str, room: int = 160 << 20):
+    def __init__(self, path: str, room: int = 256 << 20):
         import ahocorasick
         import regex
 
@@ -116,6 +116,8 @@ class PrefixBpe:
         """The ids of a stretch of text without special strings, or of one special string, packed as int32."""
         if stretch in self.specials:
             return array("i", [self.specials[stretch]]).tobytes()
+        if stretch.isascii() and stretch[stretch[:1] == " " :].isalpha():  # one pre-token, remembered as a piece
+            return self._pretoken(stretch)
         return b"".join(map(self.pretokens.__getitem__, self.pattern.findall(stretch)))
 
     def encode(self, text: str) -> bytes:

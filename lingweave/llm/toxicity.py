@@ -34,15 +34,18 @@ FIVE_AT, FOUR_AT, PAIR_AT, SIZE = 1 << 22, (1 << 22) + (1 << 21), 1 << 23, 1 <<
 
 def _word(piece: str) -> int:
     """Hashes of the word and of its two beginnings, side by side in one number; -1 if nothing in the piece is a letter or digit."""
-    word = "".join(c for c in piece.lower() if c.isalnum())
-    if not word:
-        return -1
-    h = lambda s, bits: zlib.crc32(s.encode()) >> 32 - bits
-    return h("w" + word, WORD_BITS) << FIVE_BITS + FOUR_BITS | h("5" + word[:5], FIVE_BITS) << FOUR_BITS | h("4" + word[:4], FOUR_BITS)
+    word = piece.lower()
+    if not word.isalnum():
+        word = "".join(filter(str.isalnum, word))
+        if not word:
+            return -1
+    whole = word.encode()
+    five, four = (whole[:5], whole[:4]) if len(whole) == len(word) else (word[:5].encode(), word[:4].encode())
+    return zlib.crc32(b"w" + whole) >> 32 - WORD_BITS << FIVE_BITS + FOUR_BITS | zlib.crc32(b"5" + five) >> 32 - FIVE_BITS << FOUR_BITS | zlib.crc32(b"4" + four) >> 32 - FOUR_BITS
 
 
 #: Parameter: bytes of the words whose hashes a task remembers.
-WORD_ROOM = 32 << 20
+WORD_ROOM = 64 << 20
 
 
 def word_memory() -> Memory:
@@ -59,13 +62,18 @@ def feature_indices(text: str, hashes: Memory) -> np.ndarray:
     return np.concatenate([word, FIVE_AT + five, FOUR_AT + four, PAIR_AT + mix(word[:-1], word[1:], 1), PAIR_AT + mix(word[:-2], word[2:], 2)])
 
 
-def train_ftrl(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over (distinct feature indices, label); the indices with weights that are not zero, the weights, the intercept."""
-    seen = np.zeros(SIZE, np.uint8)
-    for at, _ in examples:
-        seen[at] += seen[at] < MIN_TEXTS
-    used = np.flatnonzero(seen >= MIN_TEXTS)
-    examples = [(np.searchsorted(used, at[seen[at] >= MIN_TEXTS]), label) for at, label in examples]
+def train_ftrl(features: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over examples in order; the indices with weights that are not zero, the weights, the intercept.
+
+    ``features`` has the distinct feature indices of all examples one after the other, ``ends`` where each example's end.  Few large arrays, which go back to the system when the task is done.
+    """
+    seen = np.bincount(features, minlength=SIZE) >= MIN_TEXTS
+    used, kept = np.flatnonzero(seen), seen[features]
+    ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends]).astype(np.int64)]
+    place = np.zeros(SIZE, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    features = place[features[kept]]
+    examples = [*zip(ends[:-1].tolist(), ends[1:].tolist(), labels.tolist(), strict=True)]
     z, n = np.zeros(len(used)), np.zeros(len(used))
     bias_z = bias_n = 0.0
 
@@ -74,7 +82,8 @@ def train_ftrl(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.n
         return np.where(np.abs(rest) <= L1, 0.0, (np.sign(rest) * L1 - rest) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     for _ in range(PASSES):
-        for at, label in examples:
+        for start, end, label in examples:
+            at = features[start:end]
             w, bias = weights(at), -bias_z / ((BETA + bias_n**0.5) / ALPHA)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - label
             n_at = n[at]
@@ -124,10 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["place", "label", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(np.frombuffer(at, "<i4"), label) for batch in batches for label, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        at, weights, intercept = train_ftrl(examples)
-        toxic = sum(label for _, label in examples)
-        shift = np.log(totals[1] / totals[0]) - np.log(max(toxic, 1) / max(len(examples) - toxic, 1))
+        parts, sizes, labels = [], [], []
+        for batch in batches:
+            labels += batch.column(1).to_pylist()
+            lists = batch.column(2).to_pylist()
+            sizes += [len(x) // 4 for x in lists]
+            parts.append(np.frombuffer(b"".join(lists), "<i4"))
+        at, weights, intercept = train_ftrl(np.concatenate([np.zeros(0, "<i4"), *parts]), np.cumsum(sizes), np.array(labels, int))
+        toxic = sum(labels)
+        shift = np.log(totals[1] / totals[0]) - np.log(max(toxic, 1) / max(len(labels) - toxic, 1))
         yield pa.RecordBatch.from_pydict({"at": pa.array([-1, *at], pa.int32()), "weight": pa.array([intercept + shift, *weights], pa.float64())})
 
     # An id that many rows have counts once, with the least of its texts.

@@ -304,6 +304,44 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert again == {i: r.score for i, r in out.items()}
 
 
+def test_training_equals_a_plain_loop():
+    """FTRL-proximal as published (McMahan et al. 2013), one coordinate at a time."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(6)
+    examples = [(sorted(rng.sample(range(60), rng.randint(0, 12))), rng.random() < 0.3) for _ in range(300)]
+    examples = [(at + [70] * (7 in at), label or 7 in at) for at, label in examples]
+    ends = np.cumsum([len(at) for at, _ in examples])
+    got = toxicity.train_ftrl(np.array([i for at, _ in examples for i in at], "<i4"), ends, np.array([int(y) for _, y in examples]))
+    count = {i: sum(i in at for at, _ in examples) for i in range(71)}
+    z, n = dict.fromkeys(range(-1, 71), 0.0), dict.fromkeys(range(-1, 71), 0.0)
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i < 0 else (toxicity.L1, toxicity.L2)
+        return 0.0 if i >= 0 and abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + l2)
+
+    for _ in range(toxicity.PASSES):
+        for at, label in examples:
+            on = [-1, *(i for i in at if count[i] >= toxicity.MIN_TEXTS)]
+            w = {i: weight(i) for i in on}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in on:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    expected = {i: weight(i) for i in range(71) if weight(i)}
+    assert dict(zip(got[0].tolist(), got[1].tolist(), strict=True)) == pytest.approx(expected)
+    assert got[2] == pytest.approx(weight(-1)) and 70 in expected
+
+
+def test_repeated_labelled_ids_and_long_texts(spark):
+    rows = [(i, "clean words only here " * 3) for i in range(40)] + [(100 + i, "nasty words in here " * 3) for i in range(40)] + [(100, f"nasty {i}") for i in range(300)] + [(500, "nasty words " * 50_000)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.judge(frame(spark, rows), labels).collect()
+    assert len(out) == len(rows) and all(r.predicted == (r.doc_id >= 100) for r in out if r.doc_id == 500 or r.doc_id < 100)
+
+
 def test_toxicity_without_labels(spark):
     df = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
