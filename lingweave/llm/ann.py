@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, stored
+from .common import quoted, small_batches, stored
 
 #: Parameters: pivots; nearest pivots posted for each row; rows of a shard; share of a shard that is reranked, and rows of it at least; queries sent at once.
 PIVOTS, POSTED, SHARD, SHARE, LEAST, BLOCK = 128, 96, 4096, 0.12, 200, 4096
@@ -97,6 +97,7 @@ def search_shard(shard: dict, queries: np.ndarray, query_ids: np.ndarray, orders
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row where ``is_query`` (of the column ``id``) holds."""
     spark = vectors.sparkSession
+    small_batches(spark)
     out = "query_id long, vec_id long, score double"
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
     n = rows.count()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, text_or_empty
+from .common import quoted, small_batches, text_or_empty
 
 HEADER = b"LWREC\x00\x01\x00"
 MASK = 0xA282EAD8
@@ -129,6 +129,7 @@ def write_token_records(docs: DataFrame, out_dir: str, tokenizer_path: str, end_
                 index.write(np.array(offsets, "<u8").tobytes())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "n_records": [len(offsets)], "n_tokens": [n_tokens], "n_bytes": [at]})
 
+    small_batches(docs.sparkSession)
     ordered = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("content")).repartitionByRange("doc_id", F.substring("content", 1, 32)).sortWithinPartitions("doc_id", "content")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{out_dir}/manifest")
     return read_manifest(docs.sparkSession, out_dir)

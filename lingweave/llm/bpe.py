@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, text_or_empty
+from .common import quoted, small_batches, text_or_empty
 
 #: The pre-token pattern of the byte-level tokenizers, and how they write bytes as characters.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,7 +35,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixBpe:
     """Encodes and decodes as the tokenizer in ``path`` does, without special tokens at the ends."""
 
-    def __init__(self, path: str, room: int = 256 << 20):
+    def __init__(self, path: str, room: int = 96 << 20):
         import ahocorasick
         import regex
 
@@ -124,6 +124,10 @@ class PrefixBpe:
         """The ids of a whole text, packed as int32."""
         return b"".join(self.pieces.values(text))
 
+    def forget(self) -> None:
+        """Drops what it remembers, which refers back to it and would else wait for the collector of cycles."""
+        self.fits = self.pretokens = self.pieces = None
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -133,21 +137,25 @@ def _batches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, decodes: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         bpe = PrefixBpe(tokenizer_path)  # this task's own, freed with it
-        for batch in (part for whole in batches for part in _batches(whole)):
-            packed = [bpe.encode(x) for x in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-            ids = np.frombuffer(b"".join(packed), np.int32)
-            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
-            if decodes:
-                values = ids.tolist()
-                columns.append(pa.array([bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        try:
+            for batch in (part for whole in batches for part in _batches(whole)):
+                packed = [bpe.encode(x) for x in batch.column(1).to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+                ids = np.frombuffer(b"".join(packed), np.int32)
+                columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+                if decodes:
+                    values = ids.tolist()
+                    columns.append(pa.array([bpe.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        finally:
+            bpe.forget()
 
     schema = f"doc_id {id_type}, ids array<int>" + (", decoded string" if decodes else "")
     return docs.select(F.col(quoted(id_col)), text_or_empty(text_col).alias("content")).mapInArrow(run, schema)

@@ -73,6 +73,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Parameter: bytes of rows that go to Python at once.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BATCH = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets rows travel to Python in small batches, unless the session says how large they are to be: a row may hold a long text, and a task holds a batch several times."""
+    if not spark._jsparkSession.conf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, ARROW_BATCH)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(quoted(column)), F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import quoted, small_batches
 
 #: Parameters: pages to learn from at most; cost of a cut between neighbours, and its decay for each step between them in the tree.
 SAMPLE, SMOOTH, DECAY = 2_000, 2.0, 0.55
@@ -423,6 +423,7 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> tuple
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:
     """``page_id, url, text`` of each row; learns the weights on a sample of the rows unless given."""
+    small_batches(pages.sparkSession)
     learned = fit(pages, html_col) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_keys, checkpointed, discard, fresh, quoted, stored, text_digest, text_or_empty
+from .common import by_keys, checkpointed, discard, fresh, quoted, small_batches, stored, text_digest, text_or_empty
 
 #: Parameters: words of a shingle; similarity as a fraction; bits of the sketch and of a chunk of it; bytes of ids that may be broadcast.
 WORDS, NUMERATOR, DENOMINATOR, SKETCH_BITS, CHUNK_BITS, BROADCAST_BYTES = 4, 85, 100, 21, 16, 32 << 20
@@ -65,8 +65,8 @@ def sketch_counts(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                found = [shingles(t, size) for t in batch.column(0).slice(start, 512).to_pylist()]
+            for start in range(0, batch.num_rows, 128):
+                found = [shingles(t, size) for t in batch.column(0).slice(start, 128).to_pylist()]
                 at, n = np.unique(np.concatenate(found) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 total[at.astype(np.int64)] += n.astype(np.int32)
         at = np.flatnonzero(total)
@@ -152,8 +152,8 @@ def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = weights.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 128):
+                batch = whole.slice(start, 128)
                 sizes, sigs, parities, words, countable, early = [], [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     h = shingles(text, size)
@@ -236,8 +236,8 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, nume
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                found = [shingles(t, size).tobytes() for t in batch.column(0).slice(start, 512).to_pylist()]
+            for start in range(0, batch.num_rows, 128):
+                found = [shingles(t, size).tobytes() for t in batch.column(0).slice(start, 128).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], ["sig", "hashes"])
 
     if ids.count() * 24 <= BROADCAST_BYTES:
@@ -286,6 +286,7 @@ def _with_labels(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
 def similarity_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document, besides ``digest`` (of the text) and ``component`` (equal for documents of one component; null for the empty set)."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("content"))
     signed, hot = signatures(docs, size, numerator, denominator)
     full = signed.where("n > 0")

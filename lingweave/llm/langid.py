@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, quoted, remainder, stored
+from .common import checkpointed, fresh, quoted, remainder, small_batches, stored
 
 #: Parameters: buckets of ids, texts of a language to learn from at most in each; hashed features, passes, weight of the margin; bytes of ids that may be broadcast.
 BUCKETS, IN_BUCKET, DIMENSIONS, PASSES, REGULAR, BROADCAST_BYTES = 50, 6, 1 << 15, 12, 1e-4, 32 << 20
@@ -165,6 +165,8 @@ def sample(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, lang
 def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits the machines on rows of ``docs`` where ``learn_from`` holds and the language is known; None if there are none."""
 
+    small_batches(docs.sparkSession)
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -195,6 +197,7 @@ def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: s
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``doc_id`` (and the columns in ``keep``), and the language and its score in columns ``named`` so, for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     shown = [*dict.fromkeys((id_col, *keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import path_exists, quoted, scratch_path, stored, text_or_empty
+from .common import path_exists, quoted, scratch_path, small_batches, stored, text_or_empty
 
 CACHE_SCHEMA = "digest binary, version binary, n_tokens long"
 
@@ -62,6 +62,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     sends those rows alone to the encoder.  A digest that a third of all rows share is thus encoded once, and copies of it are dealt by their ids, not to one task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cache_path = cache_path or scratch_path(spark, "token-cache")
     version = tokenizer_version(tokenizer_path)
     text = text_or_empty(text_col)

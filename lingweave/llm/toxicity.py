@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, remainder, text_or_empty
+from .common import fresh, quoted, remainder, small_batches, text_or_empty
 from .pieces import Memory
 
 #: Parameters: texts of either label to learn from at most; texts of the sample that a feature must occur in; FTRL's alpha, beta, L1 and L2; passes.
@@ -65,14 +65,25 @@ def feature_indices(text: str, hashes: Memory) -> np.ndarray:
 def train_ftrl(features: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over examples in order; the indices with weights that are not zero, the weights, the intercept.
 
-    ``features`` has the distinct feature indices of all examples one after the other, ``ends`` where each example's end.  Few large arrays, which go back to the system when the task is done.
+    ``features`` (int32) has the distinct feature indices of all examples one after the other, ``ends`` where each example's end; it is overwritten, so that no more than two arrays of its
+    size are held at a time.
     """
-    seen = np.bincount(features, minlength=SIZE) >= MIN_TEXTS
-    used, kept = np.flatnonzero(seen), seen[features]
-    ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends]).astype(np.int64)]
-    place = np.zeros(SIZE, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    features = place[features[kept]]
+    ordered = np.sort(features)
+    # Sorted, an index that MIN_TEXTS texts have is equal to the one so many places on, and its first place is where the one before differs.
+    often = ordered[MIN_TEXTS - 1 :] == ordered[: max(0, len(ordered) - MIN_TEXTS + 1)]
+    often[1:] &= ordered[1 : len(often)] != ordered[: max(0, len(often) - 1)]
+    used = ordered[: len(often)][often]
+    del ordered, often
+    start = filled = 0
+    kept = []
+    for end in ends.tolist():
+        at = features[start:end]
+        place = np.searchsorted(used, at)
+        place = place[used[np.minimum(place, len(used) - 1)] == at] if len(used) else place[:0]
+        features[filled : filled + len(place)] = place
+        filled, start = filled + len(place), end
+        kept.append(filled)
+    ends = np.array([0, *kept])
     examples = [*zip(ends[:-1].tolist(), ends[1:].tolist(), labels.tolist(), strict=True)]
     z, n = np.zeros(len(used)), np.zeros(len(used))
     bias_z = bias_n = 0.0
@@ -117,6 +128,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits on labelled rows where ``learn_from`` (of ``id_col``) holds."""
+    small_batches(docs.sparkSession)
     key = F.col(quoted(id_col))
     known = labels.where(key.isNotNull() & F.col(quoted(label_col)).isNotNull()).where(learn_from).groupBy(key.alias("id")).agg(F.max(F.col(quoted(label_col)).cast("int")).alias("label"))
     totals = {int(r["label"] > 0): r["count"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
@@ -139,7 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
             lists = batch.column(2).to_pylist()
             sizes += [len(x) // 4 for x in lists]
             parts.append(np.frombuffer(b"".join(lists), "<i4"))
-        at, weights, intercept = train_ftrl(np.concatenate([np.zeros(0, "<i4"), *parts]), np.cumsum(sizes), np.array(labels, int))
+        features, filled = np.empty(sum(sizes), "<i4"), 0
+        while parts:  # each goes as it is copied
+            part = parts.pop(0)
+            features[filled : filled + len(part)] = part
+            filled += len(part)
+        at, weights, intercept = train_ftrl(features, np.cumsum(sizes, dtype=np.int64), np.array(labels, int))
         toxic = sum(labels)
         shift = np.log(totals[1] / totals[0]) - np.log(max(toxic, 1) / max(len(labels) - toxic, 1))
         yield pa.RecordBatch.from_pydict({"at": pa.array([-1, *at], pa.int32()), "weight": pa.array([intercept + shift, *weights], pa.float64())})
@@ -157,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), named: str = "score") -> DataFrame:
     """``doc_id`` (and the columns in ``keep``) and the score in a column ``named`` so, for each row."""
+    small_batches(docs.sparkSession)
     shown = [*dict.fromkeys((id_col, *keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
