@@ -39,6 +39,8 @@ UNIT, CROWDED = 512, 8
 HOT = 12 * UNIT
 #: Hashes below this are countable, a quarter of all; what is not comes last in the global order.
 COUNTABLE, UNCOUNTED = 1 << 62, 0x7FFF
+#: Parameter: others in a list that each set still apart meets before all pairs that are apart do.
+MEETINGS = 8
 #: Parameter: 64-bit words of the parity that travels with postings.
 PARITY_WORDS = 16
 
@@ -174,14 +176,14 @@ def signatures(docs: DataFrame, size: int, numerator: int, denominator: int) ->
 
 
 def _salt(token: Column, by: Column, hot: int) -> Column:
-    """0, or for a frequent token one of as many numbers as its count asks for, by the hash of ``by``."""
+    """0, or for a frequent token one of as many numbers as its count asks for, by a hash of ``by`` that differs from token to token."""
     weight = F.shiftrightunsigned(token, 48)
     parts = F.pow(F.lit(2.0), F.least(F.floor((weight - hot) / UNIT) + 1, F.lit(20))).cast("long")
-    return F.when((weight >= hot) & (weight < UNCOUNTED), F.pmod(F.xxhash64(by), parts)).otherwise(F.lit(0)).cast("int")
+    return F.when((weight >= hot) & (weight < UNCOUNTED), F.pmod(F.xxhash64(by, token), parts)).otherwise(F.lit(0)).cast("int")
 
 
 def prefixes(sets: DataFrame, numerator: int, denominator: int, hot: int) -> DataFrame:
-    """``sid, n, folded, prefix`` (array of ``place, token``) of the sets that share a shingle of their prefix with another set.
+    """``sid, n, alone`` (countable shingles that no other set has), ``folded, prefix`` (array of ``place, token``) of the sets that share a shingle of their prefix with another set.
 
     Countable shingles are counted exactly; those of one set alone come first in the order and are posted nowhere, for they can meet nothing.  Most sets are left out by that: their
     prefix is theirs alone.
@@ -200,7 +202,7 @@ def prefixes(sets: DataFrame, numerator: int, denominator: int, hot: int) -> Dat
     known = lists.join(sets.select("sid", "n", "countable", "folded"), "sid").withColumn("alone", F.col("countable") - F.col("counted"))
     place = lambda t, i: F.when(F.shiftrightunsigned(t["token"], 48) < UNCOUNTED, F.col("alone") + i).otherwise(t["at"]).cast("int")
     prefix = F.filter(F.transform("shared", lambda t, i: F.struct(place(t, i).alias("place"), t["token"].alias("token"))), lambda t: t["place"] < length)
-    return known.select("sid", F.col("n").cast("int").alias("n"), "folded", prefix.alias("prefix")).where(F.size("prefix") > 0)
+    return known.select("sid", F.col("n").cast("int").alias("n"), F.col("alone").cast("int").alias("alone"), "folded", prefix.alias("prefix")).where(F.size("prefix") > 0)
 
 
 def _close(n1: Column, n2: Column, numerator: int, denominator: int) -> Column:
@@ -284,6 +286,22 @@ def _with_labels(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return sets.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
+def _edges(labels: DataFrame) -> DataFrame:
+    """Edges that give the components of ``labels``."""
+    return labels.where("sid <> label").select(F.col("label").alias("a"), F.col("sid").alias("b"))
+
+
+def _open_rows(met: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``token, sid, n, place, label, folded`` of the sets in lists whose members are not one component yet; of lists with the same members the first alone, as its shingle is the first that any two of them share."""
+    span = checkpointed(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")))
+    sides = met.select("token", "gid", "n", "place").join(span, "gid")
+    members = F.count("*").alias("size"), F.bit_xor(F.xxhash64("gid")).alias("m1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("m2")
+    open_lists = sides.groupBy("token").agg(*members, F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
+    first = open_lists.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    rows = met.select("token", "gid", "n", "place").join(first, "token", "left_semi").join(labelled, "gid")
+    return checkpointed(rows.select("token", "sid", "n", "place", "label", "folded"))
+
+
 def similarity_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document, besides ``digest`` (of the text) and ``component`` (equal for documents of one component; null for the empty set)."""
     small_batches(documents.sparkSession)
@@ -294,53 +312,55 @@ def similarity_components(documents: DataFrame, id_col: str = "doc_id", text_col
     sets = stored(distinct.select(F.monotonically_increasing_id().alias("sid"), "sig", "s.*", "doc"), "sets")
 
     # Groups of equal size and prefix, by 128 bits of hashes; a group's id is half of them: should two groups share it, their sets are verified as those of one.
-    two = [F.xxhash64("n", "prefix").alias("gid"), F.xxhash64(F.lit(1), "prefix", "n").alias("twin")]
-    grouped = stored(prefixes(sets, numerator, denominator, hot).select("sid", "n", "folded", "prefix", *two), "prefixes")
-    groups = grouped.groupBy("gid", "twin").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # Shingles that a set has alone belong to its prefix, so a set that has any is a group of its own.
+    own = F.when(F.col("alone") > 0, F.col("sid"))
+    two = [F.xxhash64("n", "prefix", own).alias("gid"), F.xxhash64(F.lit(1), "prefix", own, "n").alias("twin")]
+    grouped = stored(prefixes(sets, numerator, denominator, hot).select("sid", "n", "alone", "folded", "prefix", *two), "prefixes")
+    groups = grouped.groupBy("gid", "twin").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix"))
 
     # Postings of the prefixes; only lists of two and more go on.
     may = lambda n1, p1, n2, p2: _may_link(n1, p1, n2, p2, numerator, denominator)
-    posted = groups.select("gid", "n", F.inline("prefix")).withColumn("salt", _salt(F.col("token"), F.col("gid"), hot))
+    posted = groups.select("gid", "n", "alone", F.inline("prefix")).withColumn("salt", _salt(F.col("token"), F.col("gid"), hot))
     weight = F.shiftrightunsigned("token", 48)
     lists = Window.partitionBy("token", "salt").orderBy(F.xxhash64("gid", "token"), "gid")
-    placed = posted.select("*", F.lag(F.struct("gid", "n", "place")).over(lists).alias("before"), F.lead("gid").over(lists).alias("next"))
+    # The member with the least share of shingles of its own: what others were copied from, or close to it.
+    hub = F.min(F.struct(F.col("alone") / F.col("n"), F.xxhash64("gid"), "gid", "n", "place")).over(Window.partitionBy("token", "salt"))
+    placed = posted.select("*", F.lag(F.struct("gid", "n", "place")).over(lists).alias("before"), F.lead("gid").over(lists).alias("next"), hub.alias("hub"))
     alive = placed.where(F.col("before").isNotNull() | F.col("next").isNotNull() | (weight >= hot))
     beside = F.when(may(F.col("before.n"), F.col("before.place"), F.col("n"), F.col("place")), F.col("before.gid"))
-    met = stored(alive.select("token", "n", "place", "gid", beside.alias("beside")), "postings")
+    around = F.when((F.col("hub.gid") != F.col("gid")) & may(F.col("hub.n"), F.col("hub.place"), F.col("n"), F.col("place")), F.col("hub.gid"))
+    met = stored(alive.select("token", "n", "place", "gid", beside.alias("beside"), around.alias("hub")), "postings")
 
-    # First each member beside the one before it in the list, and each group around one of its sets.
+    # First each member beside the one before it in the list and beside the list's hub, and each group around one of its sets.
     near = lambda n1, n2, w1, w2: F.coalesce(sum((F.bit_count(F.get(w1, F.lit(i)).bitwiseXOR(F.get(w2, F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0)) * (denominator + numerator) <= (n1 + n2) * (denominator - numerator), F.lit(True))
     centre = checkpointed(grouped.groupBy("gid").agg(F.min(F.struct("sid", "n", "folded")).alias("c"), F.count("*").alias("members")).select("gid", F.col("c.sid").alias("centre"), F.col("c.n").alias("n"), F.col("c.folded").alias("folded"), "members"))
     c1, c2 = (centre.select(F.col("gid").alias(g), F.col("centre").alias(s), F.col("n").alias(f"n{s}"), F.col("folded").alias(f"w{s}")) for g, s in (("gid1", "a"), ("gid", "b")))
-    next_to = met.where("beside is not null").select(F.least("gid", "beside").alias("gid"), F.greatest("gid", "beside").alias("gid1")).distinct()
+    beside = met.select("gid", F.explode(F.array("beside", "hub")).alias("beside")).where("beside is not null")
+    next_to = beside.select(F.least("gid", "beside").alias("gid"), F.greatest("gid", "beside").alias("gid1")).distinct()
     across = next_to.join(c1, "gid1").join(c2, "gid").where(near(F.col("na"), F.col("nb"), F.col("wa"), F.col("wb"))).select("a", "b")
     inside = grouped.select("sid", "gid").join(centre.where("members > 1").select("gid", "centre"), "gid").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b"))
     stars = verified(across.union(inside).distinct(), sets, docs, size, numerator, denominator)
     labels = components(stars)
 
-    # Then all pairs that meet and are still apart.  A group of several sets has no parity to be ruled out by.
+    # Lists still open: what is apart meets several others first, in another order of the list, then all it may link with.  A set that joined a component drops out of its lists' pairs.
     labelled = checkpointed(_with_labels(grouped.select("sid", "gid", "folded"), labels))
-    span = checkpointed(labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.when(F.count("*") == 1, F.first("folded")).alias("folded")))
-    sides = met.select("token", "gid", "n", "place").join(span.select("gid", "low", "high", "folded"), "gid")
-    # A list whose members are one component already is done; of lists with the same members the first one does for all, as its shingle is the first that any two of them share.
-    members = F.count("*").alias("size"), F.bit_xor(F.xxhash64("gid")).alias("m1"), F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("m2")
-    open_lists = sides.groupBy("token").agg(*members, F.min("low").alias("least"), F.max("high").alias("most")).where("size > 1 and least <> most")
-    first = open_lists.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token")
-    sides = checkpointed(sides.join(first, "token", "left_semi"))
-    names = ("gid", "n", "place", "low", "high", "folded")
-    x, y = (sides.select("token", *[F.col(n).alias(f"{n}_{s}") for n in names]) for s in ("x", "y"))
-    apart = ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
+    some = _open_rows(met, labelled)
+    order = Window.partitionBy("token", "salt").orderBy(F.xxhash64("sid", "token", F.lit(2)), "sid")
+    salted = some.withColumn("salt", _salt(F.col("token"), F.col("sid"), hot))
+    others = F.array(*[F.lag(F.struct(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("label").alias("label_b"), F.col("folded").alias("folded_b")), k).over(order) for k in range(1, MEETINGS + 1)])
+    beside = salted.withColumn("others", others).select("sid", "n", "place", "label", "folded", F.explode("others").alias("o")).where("o is not null").select("sid", "n", "place", "label", "folded", "o.*").where("label <> label_b")
+    beside = beside.where(may(F.col("n"), F.col("place"), F.col("n_b"), F.col("place_b")) & near(F.col("n"), F.col("n_b"), F.col("folded"), F.col("folded_b")))
+    more = verified(beside.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct(), sets, docs, size, numerator, denominator)
+    labels = components(_edges(labels).union(more))
+
+    rows = _open_rows(met, checkpointed(_with_labels(grouped.select("sid", "gid", "folded"), labels)))
+    names = ("sid", "n", "place", "label", "folded")
+    x, y = (rows.select("token", *[F.col(n).alias(f"{n}_{s}") for n in names]) for s in ("x", "y"))
     bound = near(F.col("n_x"), F.col("n_y"), F.col("folded_x"), F.col("folded_y"))
-    meet = x.join(y, (x["token"] == y["token"]) & (F.col("gid_x") < F.col("gid_y")) & apart & may(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y")) & bound)
-    meet = meet.select("gid_x", "gid_y").distinct()
-    sx, sy = (labelled.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(i), F.col("label").alias(f"label_{s}")) for s, i in (("x", "a"), ("y", "b")))
-    members = meet.join(sx, "gid_x").join(sy, "gid_y").where("label_x <> label_y").select("a", "b")
-    split = labelled.drop("folded").join(span.where("low <> high").select("gid"), "gid", "left_semi")
-    p, q = (split.select(F.col("gid").alias(f"g{s}"), F.col("sid").alias(s), F.col("label").alias(f"l{s}")) for s in ("a", "b"))
-    own = p.join(q, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b")
-    rest = verified(members.union(own).distinct(), sets, docs, size, numerator, denominator)
-    # The stars need not be walked again: their labels stand for them.
-    final = components(rest.union(labels.where("sid <> label").select(F.col("label").alias("a"), F.col("sid").alias("b"))))
+    meet = x.join(y, (x["token"] == y["token"]) & (F.col("sid_x") < F.col("sid_y")) & (F.col("label_x") != F.col("label_y")) & may(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y")) & bound)
+    rest = verified(meet.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct(), sets, docs, size, numerator, denominator)
+    # Links found before need not be walked again: their labels stand for them.
+    final = components(_edges(labels).union(rest))
 
     of_set = checkpointed(_with_labels(sets.select("sid", "sig", "doc"), final))
     discard(sets, grouped, met)
