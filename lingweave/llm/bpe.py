@@ -25,6 +25,10 @@ PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTED_AS_THEMSELVES = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 
 
+#: Parameter: results of pair tests that are remembered, a prime.
+PAIR_SLOTS = 524_287
+
+
 def byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
     plain = [b for low, high in PRINTED_AS_THEMSELVES for b in range(low, high + 1)]
@@ -67,12 +71,13 @@ class PrefixBpe:
             self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.automaton.make_automaton()
         self.bytes_of = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
-        self.fits = Memory(self._fits, room // 5)
+        #: Results of pair tests, each at the remainder of its pair: a table of fixed size in which a later pair may take an earlier one's place.
+        self.tested = array("q", [-1]) * PAIR_SLOTS
         self.pattern = regex.compile(PRETOKENS)
-        self.pretokens = Memory(self._pretoken, room // 4)
-        self.pieces = SpaceLedPieces(self._literal, room // 8 * 3, self.specials)
+        self.pretokens = Memory(self._pretoken, room // 3)
+        self.pieces = SpaceLedPieces(self._literal, room // 2, self.specials)
 
-    def _fits(self, pair: int) -> bool:
+    def fits(self, pair: int) -> bool:
         """Whether encoding the joined bytes of two tokens gives these two; ``pair`` is the left id times the vocabulary's size plus the right id.
 
         Walks the tokens that face each other at the boundary, undoing the latest merge on either side first; a merge across the
@@ -96,12 +101,19 @@ class PrefixBpe:
     def _pretoken(self, pretoken: str) -> bytes:
         data = pretoken.encode()
         last: list[int] = [-1] * len(data)
-        fits, n = self.fits, len(self.bytes_of)
+        tested, n = self.tested, len(self.bytes_of)
         for end, (size, token) in self.automaton.iter(data.decode("latin-1")):
             if last[end] < 0:
                 before = end - size
-                if before < 0 or last[before] >= 0 and fits[last[before] * n + token]:
+                if before < 0:
                     last[end] = token
+                elif last[before] >= 0:
+                    pair = last[before] * n + token
+                    known = tested[pair % PAIR_SLOTS]
+                    if known >> 1 != pair:
+                        known = tested[pair % PAIR_SLOTS] = pair << 1 | self.fits(pair)
+                    if known & 1:
+                        last[end] = token
         ids, end = [], len(data) - 1
         while end >= 0:
             token = last[end]
@@ -126,7 +138,7 @@ class PrefixBpe:
 
     def forget(self) -> None:
         """Drops what it remembers, which refers back to it and would else wait for the collector of cycles."""
-        self.fits = self.pretokens = self.pieces = None
+        self.tested = self.pretokens = self.pieces = None
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -99,7 +99,7 @@ def test_pairs_fit_as_merging_says(libraries):
     for _ in range(3000):
         a, b = rng.choice(tokens), rng.choice(tokens)
         text = (own.bytes_of[a] + own.bytes_of[b]).decode()
-        assert own.fits[a * n + b] == (ids_of(libraries[0], text) == [a, b])
+        assert own.fits(a * n + b) == (ids_of(libraries[0], text) == [a, b])
 
 
 def test_records_round_trip(spark, docs, libraries):
