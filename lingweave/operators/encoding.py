@@ -35,11 +35,24 @@ def load_stats(pairs: DataFrame, encode: Encoder, config: EncodingConfig = Encod
     return marked.agg(F.count("*").alias("rows_in"), F.count_if("overlength").alias("overlength"), kept.alias("examples"))
 
 
+#: Parameter: indices of a stretch that is numbered by one task.
+STRETCH = 1 << 16
+
+
 def chunked(rows: DataFrame, size: int, index: str = "row_index") -> DataFrame:
-    """Adds ``batch_id``: the rows' places in chunks of ``size``."""
+    """Adds ``batch_id``: the chunk of ``size`` in which a row's place among the rows given lies, in the order of ``index``.
+
+    Stretches of the index are counted and numbered each by itself, and the counts before a stretch are added; no task sees more rows than a stretch has.
+    """
     if size <= 0:
         raise ValueError("the size of a batch must be positive")
-    return rows.withColumn("batch_id", F.floor(F.col(index) / size))
+    marked = rows.withColumn("_stretch", F.floor(F.col(index) / STRETCH))
+    counts = marked.groupBy("_stretch").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_stretch", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_stretch").orderBy(index)) - 1
+    numbered = marked.withColumn("_place", place).join(offsets, "_stretch")
+    return numbered.withColumn("batch_id", F.floor((F.col("_before") + F.col("_place")) / size)).drop("_stretch", "_place", "_before")
 
 
 def rounded(length: Column, multiple: int | None) -> Column:

@@ -70,14 +70,14 @@ def bleu(rows: DataFrame) -> DataFrame:
     one = _by_order(bleu_stats(rows), BLEU_ORDER)
     orders = range(1, BLEU_ORDER + 1)
     empty = reduce(lambda a, n: a & (F.col(f"match_{n}") == 0), orders, F.lit(True))
-    total, halvings, stopped = F.lit(0.0), F.lit(0), F.lit(False)
+    # An order without n-grams has a precision of 0, which makes the mean 0.
+    empty = reduce(lambda a, n: a | (F.col(f"hyp_{n}") == 0), orders, empty)
+    total, halvings = F.lit(0.0), F.lit(0)
     for n in orders:
         match, hyp = F.col(f"match_{n}"), F.col(f"hyp_{n}")
-        stopped = stopped | (hyp == 0)
         halvings = halvings + F.when(match == 0, 1).otherwise(0)
-        p = F.when(match == 0, 100.0 / (F.pow(F.lit(2.0), halvings) * hyp)).otherwise(100.0 * match / hyp)
-        total = total + F.when(stopped, 0.0).otherwise(F.ln(p))
-    # An order without n-grams ends the scan; its precision of 0 makes the mean 0.
+        p = F.when(match == 0, 100.0 / (F.pow(F.lit(2.0), halvings) * F.greatest(hyp, F.lit(1)))).otherwise(100.0 * match / F.greatest(hyp, F.lit(1)))
+        total = total + F.ln(p)
     brevity = F.when(F.col("hyp_1") >= F.col("ref_1"), 1.0).when(F.col("hyp_1") == 0, 0.0).otherwise(F.exp(1 - F.col("ref_1") / F.col("hyp_1")))
     return one.select(F.when(empty, 0.0).otherwise(brevity * F.exp(total / BLEU_ORDER)).alias("bleu"))
 

@@ -153,7 +153,7 @@ def examples(unknown: str | None = None) -> str:
     marked as (select *, greatest(len(src_ids), len(tgt_in_ids), len(tgt_out_ids)) > 128 as overlength from ids)"""
 
 
-PADDED = f"""{examples()}, batches as (select *, cast(floor(row_index / 48) as bigint) as batch_id from marked where not overlength),
+PADDED = f"""{examples()}, batches as (select *, cast(floor((row_number() over (order by row_index) - 1) / 48) as bigint) as batch_id from marked where not overlength),
 widths as (select batch_id, ceil(max(len(src_ids)) / 8.0)::bigint * 8 as s, ceil(max(len(tgt_in_ids)) / 8.0)::bigint * 8 as i, ceil(max(len(tgt_out_ids)) / 8.0)::bigint * 8 as o, max(len(src_ids)) as plain, count(*) as n from batches group by batch_id),
 padded as (
     select row_index, batch_id, n, s, i, plain, list_concat(src_ids, list_transform(range(s - len(src_ids)), lambda x: 0)) as src_ids,
@@ -254,7 +254,7 @@ SQL: dict[str, str] = {
             select 1 as n, case when match = 0 then 1 else 0 end as k, case when hyp = 0 then 0.0 when match = 0 then ln(100.0 / (2.0 * hyp)) else ln(100.0 * match / hyp) end as l, hyp = 0 as stopped from filled where n = 1
             union all select f.n, k + case when match = 0 then 1 else 0 end, l + case when stopped or hyp = 0 then 0.0 when match = 0 then ln(100.0 / (power(2.0, k + 1) * hyp)) else ln(100.0 * match / hyp) end, stopped or hyp = 0 from scan join filled f on f.n = scan.n + 1
         ), one as (select * from filled where n = 1)
-        select round(case when (select sum(match) from filled) = 0 then 0.0 else case when hyp >= ref then 1.0 when hyp = 0 then 0.0 else exp(1 - ref / hyp::double) end * exp((select l from scan where n = 4) / 4) end, 6) as bleu from one""",
+        select round(case when (select sum(match) from filled) = 0 or (select min(hyp) from filled) = 0 then 0.0 else case when hyp >= ref then 1.0 when hyp = 0 then 0.0 else exp(1 - ref / hyp::double) end * exp((select l from scan where n = 4) / 4) end, 6) as bleu from one""",
     "chrf_score": f"with {CHAR_NGRAMS}, m as (select avg(match / hyp::double) as p, avg(match / ref::double) as r from stats where hyp > 0 and ref > 0) select round(case when p + r = 0 then 0 else 100 * 5 * p * r / (4 * p + r) end, 6) as chrf from m",
     "lr_schedule": "select s as step, round(least(power(greatest(1, s), -0.5), greatest(1, s) * power(4000.0::double, -1.5)) * sqrt(4000.0::double), 9) as multiplier from range(0, 20001, 250) t(s)",
     "length_penalty": "select event_id, round(value / power(greatest(1, event_id % 40), 0.7), 6) as score from events",

@@ -76,7 +76,8 @@ def parse_labels(lines: DataFrame) -> DataFrame:
     """``line_no, split, row_index, label`` of label lines in the short form ``s, i, l`` or the long form; others have nulls."""
     parsed = lines.withColumn("j", F.from_json("line", "s string, i long, l string, split string, row_index long, label string"))
     code = F.coalesce("j.l", "j.label")
-    label = F.when(code.isin("0", "1", "2"), code.cast("int"))
+    # Any whole number counts as a label; whether it is accepted is for the cleaning to say.
+    label = F.when(code.rlike(r"^\s*[+-]?\d{1,9}\s*$"), F.trim(code).cast("int"))
     for name, value in LABEL_CODES.items():
         label = F.when(code == name, value).otherwise(label)
     return parsed.select("line_no", F.coalesce("j.s", "j.split").alias("split"), F.coalesce("j.i", "j.row_index").alias("row_index"), label.alias("label"))

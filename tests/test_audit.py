@@ -69,9 +69,9 @@ def test_label_files(spark, tmp_path):
     lines = ['{"s":"train","i":0,"l":2}', "", '{"split":"train","row_index":0,"label":"bad"}', '{"s":"other","i":1,"l":2}', "garbage", '{"s":"test","i":3,"l":1}', '{"s":"test","i":4,"l":9}']
     (tmp_path / "labels.jsonl").write_text("\n".join(lines))
     parsed = corpus.parse_labels(corpus.numbered_lines(spark, str(tmp_path / "labels.jsonl")))
-    assert {(r.split, r.row_index, r.label) for r in corpus.last_labels(parsed).collect()} == {("train", 0, 0), ("test", 3, 1)}
+    assert {(r.split, r.row_index, r.label) for r in corpus.last_labels(parsed).collect()} == {("train", 0, 0), ("test", 3, 1), ("test", 4, 9)}
     stats = {r.split: (r.loaded, r.duplicates, r.unknown_split) for r in corpus.label_load_stats(parsed).collect()}
-    assert stats[None] == (3, 1, 1) and stats["train"] == (2, 1, 0)
+    assert stats[None] == (4, 1, 1) and stats["train"] == (2, 1, 0)
 
 
 def make_stub():

@@ -99,6 +99,20 @@ def test_encode_and_collate(spark):
         E.chunked(rows, 0)
 
 
+def test_chunks_count_the_rows_that_are_left(spark):
+    rows = spark.createDataFrame([(i, "x") for i in (3, 70_000, 9, 10, 200_001, 65_536, 200_000)], "row_index long, pl string").repartition(3)
+    got = {r.row_index: r.batch_id for r in E.chunked(rows, 3).collect()}
+    assert got == {3: 0, 9: 0, 10: 0, 65_536: 1, 70_000: 1, 200_000: 1, 200_001: 2}
+    assert E.chunked(rows, 3).columns == ["row_index", "pl", "batch_id"]
+
+
+def test_bleu_of_corpora_without_all_orders(spark):
+    """An order without n-grams has the precision 0, and so the score is 0."""
+    for text in ("hello", "the cat", "the cat sat"):
+        assert scores(spark, [(text, text)])[0] == 0
+    assert scores(spark, [("the cat sat down", "the cat sat down")])[0] == pytest.approx(100)
+
+
 def scores(spark, pairs):
     df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "index long, hypothesis string, reference string")
     return B.bleu(df).first()[0], B.chrf(df).first()[0]
