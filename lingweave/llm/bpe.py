@@ -148,14 +148,14 @@ def _batches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (whole.slice(start, 256) for start in range(0, whole.num_rows, 256))
 
 
-def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, decodes: bool) -> DataFrame:
+def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, decodes: bool, room: int) -> DataFrame:
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        bpe = PrefixBpe(tokenizer_path)  # this task's own, freed with it
+        bpe = PrefixBpe(tokenizer_path, room)  # this task's own, freed with it
         try:
             for batch in (part for whole in batches for part in _batches(whole)):
                 packed = [bpe.encode(x) for x in batch.column(1).to_pylist()]
@@ -173,11 +173,11 @@ def _coded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, dec
     return docs.select(F.col(quoted(id_col)), text_or_empty(text_col).alias("content")).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` for each row: the ids of the whole text."""
-    return _coded(docs, tokenizer_path, id_col, text_col, False)
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 96 << 20) -> DataFrame:
+    """``doc_id, ids array<int>`` for each row: the ids of the whole text.  A task remembers about ``room`` bytes of pieces; more of them save time."""
+    return _coded(docs, tokenizer_path, id_col, text_col, False, room)
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 288 << 20) -> DataFrame:
     """``doc_id, ids array<int>, decoded string`` for each row: the ids of the whole text and the text decoded from them."""
-    return _coded(docs, tokenizer_path, id_col, text_col, True)
+    return _coded(docs, tokenizer_path, id_col, text_col, True, room)
