@@ -82,7 +82,7 @@ def file_system(path: str):
 class SpacelessEncoder:
     """Encodes with the tokenizers library, which drops white space here, and remembers what it made of each piece between spaces."""
 
-    def __init__(self, tokenizer_path: str, end_id: int, room: int = 96 << 20):
+    def __init__(self, tokenizer_path: str, end_id: int, room: int = 320 << 20):
         from tokenizers import Tokenizer
 
         from .pieces import LibraryParts, SpacelessPieces
