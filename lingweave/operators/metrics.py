@@ -6,12 +6,18 @@ chrF over characters without white space up to order 6 with beta 2.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLEU_ORDER, CHRF_ORDER, BETA = 4, 6, 2.0
+#: Sentences whose n-grams are counted together; it bounds memory and changes no count.
+ROWS_AT_ONCE = 32
 
 #: The 13a tokenisation, in order.
 TOKENISE_13A = (
@@ -32,22 +38,67 @@ def tokens_13a(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
 
 
-def characters(c: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", ""), F.lit(r"(?s)."), F.lit(0))
+def dark(c: Column) -> Column:
+    """A text without white space: its code points are chrF's characters."""
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "")
 
 
-def _grams(items: Column, order: int, joiner: str) -> Column:
-    """All n-grams up to ``order``: array of ``n, gram``."""
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(items, i, n), joiner).alias("gram")))
-    return F.flatten(F.array(*[F.when(F.size(items) >= n, of(n)).otherwise(F.array().cast("array<struct<n:int,gram:string>>")) for n in range(1, order + 1)]))
+def overlaps(codes: np.ndarray, hyp: np.ndarray, ref: np.ndarray, order: int) -> np.ndarray:
+    """``match, hyp, ref`` by order of the n-grams of sentences: ``codes`` holds the items of all hypotheses, then of all references, ``hyp`` and ``ref`` their numbers by sentence.
 
+    An n-gram is one number made of its sentence and items; where that would outgrow 63 bits the numbers in use are numbered anew, so equality stays exact.
+    """
+    sizes = np.concatenate([hyp, ref])
+    sentence, ends = np.repeat(np.concatenate([np.arange(len(hyp)), np.arange(len(ref))]), sizes), np.repeat(np.cumsum(sizes), sizes)
+    letters, base = np.unique(codes, return_inverse=True)
+    size, side, at = len(letters), np.arange(len(codes)) >= hyp.sum(), np.arange(len(codes))
+    key, limit, found = sentence * size + base, len(hyp) * size, np.zeros((order, 3), np.int64)
+    for n in range(1, order + 1):
+        if n > 1:
+            stay = ends[at] - at >= n
+            at, key = at[stay], key[stay]
+            if limit * size >= 1 << 62:
+                known, key = np.unique(key, return_inverse=True)
+                limit = len(known)
+            key, limit = key * size + base[at + n - 1], limit * size
+        if not len(at):
+            break
+        ordered = np.sort(key << 1 | side[at])
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] >> 1 != ordered[:-1] >> 1]))
+        total, refs = np.diff(starts, append=len(ordered)), np.add.reduceat(ordered & 1, starts)
+        found[n - 1] = np.minimum(refs, total - refs).sum(), len(ordered) - refs.sum(), refs.sum()
+    return found
 
-def _matches(rows: DataFrame, split, order: int, joiner: str) -> DataFrame:
-    """``n, match, hyp, ref``: clipped matches and totals over all sentences.  Both sides go through one aggregation by sentence and gram; no join is needed."""
-    sides = F.array(F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), split(F.col("hypothesis")).alias("items")), F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), split(F.col("reference")).alias("items")))
-    exploded = rows.select("index", F.inline(sides)).select("index", "h", "r", F.inline(_grams(F.col("items"), order, joiner)))
-    counted = exploded.groupBy("index", "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counted.groupBy("n").agg(F.sum(F.least("h", "r")).alias("match"), F.sum("h").alias("hyp"), F.sum("r").alias("ref"))
+
+def _of_tokens(side: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    return side.flatten(), pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _of_characters(side: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    texts = [t or "" for t in side.to_pylist()]
+    return pa.array(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")), np.array([len(t) for t in texts], np.int64)
+
+
+def _matches(rows: DataFrame, split: Callable[[Column], Column], items: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], order: int) -> DataFrame:
+    """``n, match, hyp, ref``: clipped matches and totals over all sentences, one to a row.
+
+    A sentence's n-grams meet only each other, so they are counted where the row lies; each task passes on ``order`` rows of sums.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((order, 3), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                (h, hyp), (r, ref) = items(part.column(0)), items(part.column(1))
+                codes = pa.concat_arrays([h, r])
+                if len(codes):
+                    sums += overlaps(codes.dictionary_encode().indices.to_numpy(), hyp, ref, order)
+        yield pa.RecordBatch.from_pydict({"n": pa.array(range(1, order + 1), pa.int32())} | {c: sums[:, i] for i, c in enumerate(("match", "hyp", "ref"))})
+
+    sides = rows.select(split(F.col("hypothesis")).alias("hypothesis"), split(F.col("reference")).alias("reference"))
+    counted = sides.mapInArrow(run, "n int, match long, hyp long, ref long")
+    return counted.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("match", "hyp", "ref")]).where("hyp + ref > 0")
 
 
 def _by_order(stats: DataFrame, order: int) -> DataFrame:
@@ -58,11 +109,11 @@ def _by_order(stats: DataFrame, order: int) -> DataFrame:
 
 def bleu_stats(rows: DataFrame) -> DataFrame:
     """``n, match, hyp, ref`` of 13a token n-grams for rows of ``index, hypothesis, reference``."""
-    return _matches(rows, tokens_13a, BLEU_ORDER, " ")
+    return _matches(rows, tokens_13a, _of_tokens, BLEU_ORDER)
 
 
 def chrf_stats(rows: DataFrame) -> DataFrame:
-    return _matches(rows, characters, CHRF_ORDER, "")
+    return _matches(rows, dark, _of_characters, CHRF_ORDER)
 
 
 def bleu(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lingweave.config import DecodingConfig, EncodingConfig
@@ -221,3 +224,25 @@ def test_clean_stage_end_to_end(spark, tmp_path):
     assert manifest["splits"][0]["primary_reason_counts"] == {"empty_pair": 1, "train_pair_present_in_validation_or_test": 1}
     assert spark.read.parquet(str(tmp_path / "out/train")).count() == 1 and spark.read.json(str(tmp_path / "out/removed")).count() == 2
     assert any("Rows in: 5" in x for x in reports.cleaning_report(manifest))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abc\U0001f600é", max_size=9), st.text("abc\U0001f600é", max_size=9)), max_size=5), st.booleans())
+def test_overlaps_are_those_of_counters(sentences, renumber):
+    if renumber:  # so many distinct items that six of them do not fit into one number
+        filler = "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))
+        sentences = [*sentences, (filler, filler[1:])]
+    hyp, ref = (np.array([len(s[k]) for s in sentences], np.int64) for k in (0, 1))
+    codes = np.array([ord(c) for k in (0, 1) for s in sentences for c in s[k]], np.int64)
+    want = np.zeros((6, 3), np.int64)
+    for a, b in sentences:
+        for n in range(1, 7):
+            h, r = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (a, b))
+            want[n - 1] += (sum((h & r).values()), sum(h.values()), sum(r.values()))
+    assert B.overlaps(codes, hyp, ref, 6).tolist() == want.tolist()
+
+
+def test_sentences_may_be_null_empty_or_repeat_an_index(spark):
+    rows = spark.createDataFrame([(1, None, "a b"), (1, "a b", "a b"), (2, "", ""), (None, "b", None)], "index long, hypothesis string, reference string")
+    assert sorted(map(tuple, B.chrf_stats(rows).collect())) == [(1, 2, 3, 4), (2, 1, 1, 2)]
+    assert B.bleu_stats(rows.limit(0)).collect() == []
