@@ -75,8 +75,8 @@ def fold_dashes(c: Column) -> Column:
 
 
 def drop_leading_ellipses(c: Column) -> Column:
-    """Ellipses that follow no letter or digit."""
-    return F.regexp_replace(c, rf"(?<![{LETTERS}])\.{{3}}", " ")
+    """Ellipses that follow no letter or digit; the look back comes last, so it is made at ellipses alone."""
+    return F.regexp_replace(c, rf"\.{{3}}(?<![{LETTERS}]\.{{3}})", " ")
 
 
 def drop_inner_ellipses(c: Column) -> Column:
@@ -98,10 +98,10 @@ def blank_dashes_before_text(c: Column) -> Column:
 
 
 def sanitise(c: Column) -> Column:
-    """The audit's sanitiser: dashes folded, stray ellipses and foreign characters dropped, dash markers removed, white space collapsed."""
-    for step in (fold_dashes, drop_leading_ellipses, drop_inner_ellipses, keep_allowed, drop_dash_marker, blank_dashes_before_text, single_spaced):
+    """The audit's sanitiser: dashes folded, stray ellipses and foreign characters dropped, dash markers removed, white space collapsed (spaces: no other is left by then)."""
+    for step in (fold_dashes, drop_leading_ellipses, drop_inner_ellipses, keep_allowed, drop_dash_marker, blank_dashes_before_text):
         c = step(c)
-    return c
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
 
 
 def word_count(c: Column) -> Column:

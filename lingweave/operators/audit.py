@@ -29,8 +29,8 @@ def line_size() -> Column:
 def batches(records: DataFrame, max_chars: int, max_rows: int) -> DataFrame:
     """Adds ``batch_index`` and ``local_id`` (both by split) to ``split, row_index, pl, en``.
 
-    A batch ends before the row that would exceed either limit; a row over the budget stands alone.  Where a batch ends depends on all rows before it, so each
-    split is one stream through a task, which holds a counter and no rows.
+    A batch ends before the row that would exceed either limit; a row over the budget stands alone.  Where a batch ends depends on all rows before it, so the lengths of
+    each split are one stream through a task, which holds a counter and no rows; the texts are joined back and never meet in one task.
     """
     if max_rows < 1:
         raise ValueError("a batch needs room for a row")
@@ -39,7 +39,7 @@ def batches(records: DataFrame, max_chars: int, max_rows: int) -> DataFrame:
         split, index, rows, chars = None, 0, 0, 0
         for part in parts:
             found, local = [], []
-            for s, n in zip(part.column(0).to_pylist(), part.column(4).to_pylist(), strict=True):
+            for s, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
                 if s != split:
                     split, index, rows, chars = s, 0, 0, 0
                 elif rows and (rows >= max_rows or chars + n > max_chars):
@@ -47,10 +47,12 @@ def batches(records: DataFrame, max_chars: int, max_rows: int) -> DataFrame:
                 found.append(index)
                 local.append(rows)
                 rows, chars = rows + 1, chars + n
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.int32()), pa.array(local, pa.int32())], ["split", "row_index", "pl", "en", "batch_index", "local_id"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, pa.int32()), pa.array(local, pa.int32())], ["split", "row_index", "batch_index", "local_id"])
 
-    lines = records.select("split", F.col("row_index").cast("long").alias("row_index"), "pl", "en", line_size().cast("int").alias("n"))
-    return lines.repartition("split").sortWithinPartitions("split", "row_index").mapInArrow(run, "split string, row_index long, pl string, en string, batch_index int, local_id int")
+    rows = records.select("split", F.col("row_index").cast("long").alias("row_index"), "pl", "en")
+    lines = rows.select("split", "row_index", line_size().cast("int").alias("n"))
+    dealt = lines.repartition("split").sortWithinPartitions("split", "row_index").mapInArrow(run, "split string, row_index long, batch_index int, local_id int")
+    return rows.join(dealt, ["split", "row_index"])
 
 
 def prompts(batched: DataFrame) -> DataFrame:

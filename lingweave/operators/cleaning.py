@@ -18,6 +18,11 @@ REASONS = ("null_pair", "empty_pair", "identical_source_target", "min_words", "m
 ACCEPT_GOOD, ACCEPT_GOOD_AND_UNCERTAIN = (2,), (2, 1)
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is evaluated once a row: projections that read it are merged with each other, but not with a generator's output."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _sized(rows: DataFrame, count=X.word_count_single_spaced) -> DataFrame:
     """Adds the word counts ``_a`` and ``_b`` of both texts, so that the rules below need not repeat how texts are made."""
     return rows.withColumns({"_a": count(F.col("pl")), "_b": count(F.col("en"))})
@@ -36,12 +41,13 @@ def normalised(rows: DataFrame, config: CleaningConfig) -> DataFrame:
     out = rows.withColumn("missing", F.col("pl").isNull() | F.col("en").isNull()).withColumns({c: F.coalesce(c, F.lit("")) for c in ("pl", "en")})
     if config.unicode_form:
         out = X.normalise_form(out, ["pl", "en"], config.unicode_form)
-    step = lambda c: X.normalise(F.col(c), config.remove_control_chars, config.collapse_whitespace, config.strip_whitespace)
-    return out.withColumns({c: F.when(F.col("missing"), "").otherwise(step(c)) for c in ("pl", "en")})
+    step = lambda c: X.normalise(c, config.remove_control_chars, config.collapse_whitespace, config.strip_whitespace)
+    both = _once(out, "_both", F.transform(F.array("pl", "en"), lambda c: F.when(F.col("missing"), "").otherwise(step(c))))
+    return both.withColumns({"pl": F.get("_both", F.lit(0)), "en": F.get("_both", F.lit(1))}).drop("_both")
 
 
-def classify(rows: DataFrame, config: CleaningConfig = CleaningConfig(), normalise: bool = True) -> DataFrame:
-    """``split, row_index, pl, en, all_reasons, reason`` for each row of ``split, row_index, pl, en``: ``reason`` is null for rows that stay.
+def classify(rows: DataFrame, config: CleaningConfig = CleaningConfig(), normalise: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``split, row_index, pl, en, all_reasons, reason`` for each row of ``split, row_index, pl, en``: ``reason`` is null for rows that stay.  Columns named in ``carried`` come along.
 
     A row leaks if it trains and any non-empty held-out row has its pair, be that one rejected or not.  A row is a duplicate if a row before it, in the order of the
     configuration, has its pair, passed the content rules and did not leak.
@@ -53,8 +59,8 @@ def classify(rows: DataFrame, config: CleaningConfig = CleaningConfig(), normali
     empty = (F.col("pl") == "") | (F.col("en") == "")
     kept_text = ~(F.col("missing") | empty)
     failing = F.array_compact(F.array(*[F.when(predicate, F.lit(name)) for name, predicate in checks]))
-    base = base.select("split", rank.alias("split_rank"), "row_index", "pl", "en", "missing", failing.alias("failing"))
-    staged = base.select("split", "split_rank", "row_index", "pl", "en", "missing", "failing", empty.alias("empty"), F.when(kept_text, F.size("failing") == 0).alias("ok"), F.when(kept_text, F.md5(X.pair_key(F.col("pl"), F.col("en")))).alias("key"))
+    base = _once(base.select("split", rank.alias("split_rank"), "row_index", "pl", "en", "missing", "_a", "_b", *carried), "failing", failing).drop("_a", "_b")
+    staged = base.select(*carried, "split", "split_rank", "row_index", "pl", "en", "missing", "failing", empty.alias("empty"), F.when(kept_text, F.size("failing") == 0).alias("ok"), F.when(kept_text, F.md5(X.pair_key(F.col("pl"), F.col("en")))).alias("key"))
     firsts = [F.min(F.when(F.col("split_rank") == r, F.col("row_index"))).alias(f"first_{r}") for r in range(len(config.order))]
     pairs = staged.groupBy("key").agg(*firsts)
     joined = staged.join(pairs.withColumnRenamed("key", "pair"), _spread(F.col("key")) == F.col("pair"), "left")
@@ -77,7 +83,7 @@ def classify(rows: DataFrame, config: CleaningConfig = CleaningConfig(), normali
     duplicate = F.coalesce(F.col("ok") & earlier, F.lit(False))
     late = F.array_compact(F.array(F.when(leak, F.lit(REASONS[6])), F.when(duplicate, F.lit(REASONS[7]))))
     reasons = F.when(F.col("missing"), F.array(F.lit("null_pair"))).when(F.col("empty"), F.array(F.lit("empty_pair"))).otherwise(F.concat("failing", late))
-    return joined.select("split", "split_rank", "row_index", "pl", "en", reasons.alias("all_reasons")).withColumn("reason", F.get("all_reasons", F.lit(0)))
+    return joined.select("split", "split_rank", "row_index", "pl", "en", *carried, reasons.alias("all_reasons")).withColumn("reason", F.get("all_reasons", F.lit(0)))
 
 
 def _spread(key: Column) -> Column:
@@ -101,12 +107,12 @@ def preaudit(rows: DataFrame, config: PreauditConfig = PreauditConfig()) -> Data
     prepared = rows.select("split", "row_index", "present", *[F.coalesce(c, F.lit("None")).alias(c) for c in ("pl", "en")])
     bracket = X.drop_bracketed if config.remove_square_bracket_content else (lambda c: c)
     # Both texts pass one chain of patterns as an array: written out for each, the chain outgrows a generated method.
-    both = prepared.withColumn("_both", F.transform(F.array("pl", "en"), lambda c: X.sanitise(bracket(c))))
+    both = _once(prepared, "_both", F.transform(F.array("pl", "en"), lambda c: X.sanitise(bracket(c))))
     clean = _sized(both.withColumns({"pl": F.get("_both", F.lit(0)), "en": F.get("_both", F.lit(1))}))
     rule = F.when(~F.col("present"), "null_pair").when((F.col("pl") == "") | (F.col("en") == ""), "empty_pair")
     for name, predicate in _content_reasons(config):
         rule = rule.when(predicate, name)
-    ruled = clean.withColumn("rule", rule)
+    ruled = _once(clean, "rule", rule)
     if not config.deduplicate_pairs:
         return ruled.select("split", "row_index", "pl", "en", F.col("rule").alias("reason"))
     keyed = ruled.withColumn("key", F.when(F.col("rule").isNull(), F.md5(X.pair_key(F.col("pl"), F.col("en")))))
@@ -124,12 +130,13 @@ def classify_labelled(rows: DataFrame, labels: DataFrame, config: CleaningConfig
     audited = preaudit(rows, audit)
     labelled = audited.join(labels.select("split", "row_index", "label"), ["split", "row_index"], "left")
     before = F.when(F.col("reason").isNotNull(), F.concat(F.lit("preaudit_"), F.col("reason"))).when(F.col("label").isNull(), "missing_llm_label").when(~F.col("label").isin(*accepted), "llm_label_not_kept")
-    labelled = labelled.withColumn("before", before)
-    passed = classify(labelled.where("before is null").select("split", "row_index", "pl", "en"), config)
-    # The verdicts are keyed by row, so the texts of the passed rows come from the classifier, normalised.
-    verdict = passed.select("split", "row_index", "pl", "en", "all_reasons", "reason").join(labels.select("split", "row_index", "label"), ["split", "row_index"])
-    stopped = labelled.where("before is not null").select("split", "row_index", "pl", "en", F.array("before").alias("all_reasons"), F.col("before").alias("reason"), "label")
-    return verdict.unionByName(stopped)
+    labelled = _once(labelled, "before", before)
+    # Stopped rows go through the classifier without texts, so they meet nothing there; theirs are put back behind it.
+    split_up = {c: F.when(F.col("before").isNull(), F.col(c)) for c in ("pl", "en")} | {f"_{c}": F.when(F.col("before").isNotNull(), F.col(c)) for c in ("pl", "en")}
+    found = classify(labelled.select("split", "row_index", "before", "label", *[c.alias(name) for name, c in split_up.items()]), config, carried=("before", "label", "_pl", "_en"))
+    texts = [F.coalesce(f"_{c}", c).alias(c) for c in ("pl", "en")]
+    found = found.select("split", "row_index", *texts, "label", F.when(F.col("before").isNotNull(), F.array("before")).otherwise(F.col("all_reasons")).alias("all_reasons"))
+    return found.withColumn("reason", F.get("all_reasons", F.lit(0)))
 
 
 def reason_counts(classified: DataFrame) -> DataFrame:
