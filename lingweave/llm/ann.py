@@ -5,7 +5,8 @@ the rows that have the pivot among their ``POSTED`` nearest, with its place in t
 which ranks rows by the footrule distance of the orders (places beyond the last one posted count as the next one).  The best share of each shard is ranked again by the cosine of the original
 vectors in double precision, and the best of all shards are the answer.
 
-Pivots are ``PIVOTS`` vectors with the least hash of their id, so fitting looks at a bounded sample; every row is indexed.  ``SHARE`` of a shard, at least ``LEAST``
+Pivots are the first ``PIVOTS`` different vectors of the four times as many rows with the least hash of their id, so fitting looks at a bounded sample, and a vector that many rows share is one
+pivot; every row is indexed.  ``SHARE`` of a shard, at least ``LEAST``
 rows, is reranked: that is the index's approximation, with no cap besides.  The tests measure recall against brute force.
 
 Defined results: vectors that are null, zero, hold a null or a number that is not finite, or are not of the most frequent length (the smaller at ties) take no part;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import quoted, small_batches, stored
 
 #: Parameters: pivots; nearest pivots posted for each row; rows of a shard; share of a shard that is reranked, and rows of it at least; queries sent at once.
-PIVOTS, POSTED, SHARD, SHARE, LEAST, BLOCK = 128, 96, 4096, 0.12, 200, 4096
+PIVOTS, POSTED, SHARD, SHARE, LEAST, BLOCK = 512, 64, 4096, 0.15, 200, 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -44,13 +45,24 @@ def places(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable").astype(np.int16)
 
 
-def _units(v: np.ndarray) -> np.ndarray:
-    return v / np.abs(v).max(axis=1, keepdims=True) / np.sqrt(((v / np.abs(v).max(axis=1, keepdims=True)) ** 2).sum(axis=1, keepdims=True))
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1: no square overflows, and cosines stay the same to the last bit."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
+def lengths(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(axis=1))
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The cosine of each row of ``x`` with ``y``; equal rows get equal values to the last bit."""
-    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum()))
+    x, y = scaled(x), scaled(y[None])
+    return (x * y).sum(axis=1) / (lengths(x) * lengths(y))
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / lengths(v)[:, None]
 
 
 def build_index(rows: DataFrame, pivots: np.ndarray, n_shards: int, posted: int = POSTED) -> DataFrame:
@@ -75,21 +87,24 @@ def build_index(rows: DataFrame, pivots: np.ndarray, n_shards: int, posted: int
 def search_shard(shard: dict, queries: np.ndarray, query_ids: np.ndarray, orders: np.ndarray, k: int, posted: int, share: float, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query of a block its ``k`` nearest in a shard: the query's id, ids, cosines."""
     ids = np.frombuffer(shard["ids"], "<i8")
-    v = np.frombuffer(shard["vectors"], "<f8").reshape(len(ids), -1)
+    # Equal rows get equal cosines to the last bit, whatever else the shard or the block holds.
+    v, queries = scaled(np.frombuffer(shard["vectors"], "<f8").reshape(len(ids), -1)), scaled(queries)
+    length, asked = lengths(v), lengths(queries)
     rows, where, ends = np.frombuffer(shard["rows"], "<u4"), np.frombuffer(shard["places"], "<u2").astype(np.int32), np.frombuffer(shard["ends"], "<u4")
     posted = min(posted, orders.shape[1])
     n = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
-    for q, query_id, order in zip(queries, query_ids, orders, strict=True):
+    tie = len(ids) - 1 - np.arange(len(ids))
+    for q, q_length, query_id, order in zip(queries, asked, query_ids, orders, strict=True):
         # What two orders have in common: the footrule is a constant less twice this sum.
         common = np.zeros(len(ids), np.int64)
         for place, p in enumerate(order[:posted]):
             a, b = ends[p], ends[p + 1]
             common[rows[a:b]] += posted - np.maximum(where[a:b], place)
         # Rows are numbered by id, so of equal sums the smaller ids come first.
-        key = common * len(ids) + (len(ids) - 1 - np.arange(len(ids)))
+        key = common * len(ids) + tie
         best = np.argpartition(-key, n - 1)[:n] if n < len(ids) else np.arange(len(ids))
         best = best[ids[best] != query_id]
-        score = cosines(v[best], q)
+        score = (v[best] * q).sum(axis=1) / (length[best] * q_length)
         top = np.lexsort((ids[best], -score))[:k]
         yield int(query_id), ids[best][top], score[top]
 
@@ -102,10 +117,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
     n = rows.count()
     # A bounded sample: the pivots.
-    chosen = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(pivots).collect()
-    if not chosen:
+    sample = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(4 * pivots).collect()
+    if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    anchors = _units(np.array([r["v"] for r in chosen]))
+    anchors = _units(np.array([*dict.fromkeys(tuple(r["v"]) for r in sample)][:pivots]))
     index = build_index(rows, anchors, -(-n // SHARD), posted)
     asked = rows.where(is_query)
     n_blocks = -(-asked.count() // BLOCK) or 1

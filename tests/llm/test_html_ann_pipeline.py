@@ -93,6 +93,25 @@ def test_small_and_odd_vectors(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_very_large_and_small_components(spark):
+    v = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1e300, 0.0]), (3, [-1e-170, 1e-170]), (4, [5e-324, 0.0])]
+    out = ann.search(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("id") == 0, k=9).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [1, 2, 4, 3] and [r.score for r in out] == pytest.approx([1, 0.5**0.5, 0.5**0.5, 0])
+
+
+def test_a_vector_that_many_rows_share_is_one_pivot(spark):
+    rng = np.random.default_rng(3)
+    v = [[1.0] * 16 if i % 3 else rng.normal(size=16).tolist() for i in range(3000)]
+    df = spark.createDataFrame([*enumerate(v)], "vec_id long, embedding array<double>")
+    truth = brute_neighbours(range(3000), np.array(v), range(0, 3000, 60), 5)
+    got = {}
+    for r in ann.search(df, F.col("id") % 60 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {i for i, _ in truth[q]}) / 5 for q in truth]) >= 0.9
+    hot = [r.vec_id for r in ann.search(df, F.col("id") == 1).orderBy("rank").collect()]
+    assert hot == [2, 4, 5, 7, 8]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     d = "/root/testdata/sf0.01"
