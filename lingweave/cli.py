@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -43,23 +44,49 @@ def run_tokenizer(spark: SparkSession, config: dict, args: argparse.Namespace) -
     sinks.write_lines(K.get_nested(config, "stage3_tokenizer.outputs.report_md", "reports/tokenizer_stats.md"), report)
 
 
+def run_translate(config: dict, args: argparse.Namespace) -> None:
+    """One text, or all of standard input as one; ``--interactive`` takes line by line."""
+    import sentencepiece
+
+    from .operators.transformer import load_model
+    from .plans import translation
+
+    model = load_model(translation.checkpoint_path(config, args.checkpoint))
+    tokenizer = sentencepiece.SentencePieceProcessor(model_file=args.tokenizer or translation.tokenizer_path(config))
+    decoding = K.DecodingConfig(beam_size=args.beam_size, length_penalty=args.length_penalty, max_new_tokens=args.max_new_tokens)
+    one = lambda text: translation.translate(text, tokenizer, model, decoding, model.config.max_seq_len, args.decode == "greedy")
+    if args.interactive:
+        translation.translate_lines(sys.stdin, one)
+    else:
+        print(one(args.text if args.text is not None else sys.stdin.read().strip()))
+
+
 STAGES = {"audit": ("stage1_audit", run_audit), "clean": ("stage2_cleaning", run_clean), "tokenizer": ("stage3_tokenizer", run_tokenizer)}
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lingweave", description=__doc__)
-    p.add_argument("stage", choices=sorted(STAGES))
+    p.add_argument("stage", choices=sorted([*STAGES, "translate"]))
     p.add_argument("--config", default="configs/project_config.yaml")
     p.add_argument("--labels", help="audit labels to clean by")
     p.add_argument("--keep-uncertain", action="store_true")
     p.add_argument("--resume", action="store_true")
     p.add_argument("--tokenizer", help="a SentencePiece model")
+    p.add_argument("--checkpoint", help="translate: a model other than the configured one")
+    p.add_argument("--text", help="translate: the text; without it, standard input")
+    p.add_argument("--interactive", action="store_true")
+    p.add_argument("--decode", choices=("beam", "greedy"), default="beam")
+    p.add_argument("--beam-size", type=int, default=K.DecodingConfig.beam_size)
+    p.add_argument("--length-penalty", type=float, default=K.DecodingConfig.length_penalty)
+    p.add_argument("--max-new-tokens", type=int, default=K.DecodingConfig.max_new_tokens)
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     config = K.load_config(args.config)
+    if args.stage == "translate":
+        return run_translate(config, args)
     name, run = STAGES[args.stage]
     K.stages(config).require(name)
     run(SparkSession.builder.appName(f"lingweave-{args.stage}").getOrCreate(), config, args)

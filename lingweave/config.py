@@ -140,3 +140,50 @@ def preaudit_config(config: dict[str, Any]) -> PreauditConfig:
 def audit_config(config: dict[str, Any]) -> AuditConfig:
     known = get_nested(config, "stage1_audit.llm", {})
     return AuditConfig(**{k: v for k, v in known.items() if k in AuditConfig.__dataclass_fields__})
+
+
+@dataclass(frozen=True)
+class RuntimeSettings:
+    """How a training run goes; the defaults are those of a run over everything."""
+
+    mode: str = "full"
+    overfit_samples: int | None = None
+    micro_batch_size: int = 16
+    grad_accum_steps: int = 8
+    num_epochs: int = 12
+    validate_every_steps: int = 2000
+    save_every_steps: int = 2000
+    max_steps: int | None = None
+    overfit_loss_threshold: float | None = None
+    early_stopping_patience: int | None = 5
+    dropout: float = 0.1
+    label_smoothing: float = 0.1
+    shuffle_train: bool = True
+    num_workers: int = 4
+    pin_memory: bool = True
+    prefetch_factor: int = 2
+    warmup_steps: int = 4000
+    weight_decay: float = 0.01
+
+
+#: The settings of a run that has to learn a few rows by heart.
+OVERFIT = {
+    "mode": "overfit", "grad_accum_steps": 1, "validate_every_steps": 25, "save_every_steps": 25, "early_stopping_patience": None, "dropout": 0.0, "label_smoothing": 0.0,
+    "shuffle_train": False, "num_workers": 0, "pin_memory": False, "prefetch_factor": 0, "warmup_steps": 1, "weight_decay": 0.0,
+}
+
+
+def runtime_settings(config: dict[str, Any], overfit_samples: int | None = None, overfit_max_steps: int = 200, overfit_loss_threshold: float = 0.1) -> RuntimeSettings:
+    """Settings of a run over everything, or over ``overfit_samples`` rows."""
+    epochs = int(get_nested(config, "stage6_train.num_epochs", RuntimeSettings.num_epochs))
+    if overfit_samples is not None:
+        for name, value in (("overfit_samples", overfit_samples), ("overfit_max_steps", overfit_max_steps)):
+            if value <= 0:
+                raise ValueError(f"{name} must be positive")
+        return RuntimeSettings(**OVERFIT, overfit_samples=overfit_samples, micro_batch_size=min(32, overfit_samples), num_epochs=max(epochs, overfit_max_steps), max_steps=overfit_max_steps, overfit_loss_threshold=float(overfit_loss_threshold))
+    preset = get_nested(config, "stage5_model.preset", "small")
+    given = get_nested(config, "stage6_train", {}) | {k: v for k, v in get_nested(config, "stage4_dataloader", {}).items() if k in ("shuffle_train", "num_workers", "pin_memory", "prefetch_factor")}
+    given |= {"dropout": get_nested(config, f"stage5_model.presets.{preset}.dropout", RuntimeSettings.dropout)}
+    fixed = ("mode", "overfit_samples", "max_steps", "overfit_loss_threshold")
+    known = {k: type(getattr(RuntimeSettings, k))(v) if v is not None else None for k, v in given.items() if k in RuntimeSettings.__dataclass_fields__ and k not in fixed}
+    return RuntimeSettings(**known)
