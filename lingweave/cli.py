@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from . import config as K
 from .operators.audit import http_generate
 from .operators.cleaning import ACCEPT_GOOD, ACCEPT_GOOD_AND_UNCERTAIN
-from .operators.tokenizer_stats import sentencepiece_encoder
+from .operators.tokenizer_stats import sentencepiece_detokeniser, sentencepiece_encoder
 from .plans import reports, stages
 from .sources import corpus, sinks
 
@@ -61,7 +61,32 @@ def run_translate(config: dict, args: argparse.Namespace) -> None:
         print(one(args.text if args.text is not None else sys.stdin.read().strip()))
 
 
-STAGES = {"audit": ("stage1_audit", run_audit), "clean": ("stage2_cleaning", run_clean), "tokenizer": ("stage3_tokenizer", run_tokenizer)}
+def run_evaluate(spark: SparkSession, config: dict, args: argparse.Namespace) -> None:
+    """Translates the cleaned test split and writes translations, samples and scores."""
+    from dataclasses import replace
+
+    from .operators.transformer import load_model
+    from .plans import translation
+
+    eval_of = lambda name, default: K.get_nested(config, f"stage7_eval.{name}", default)
+    path, tokenizer = translation.checkpoint_path(config, args.checkpoint), args.tokenizer or translation.tokenizer_path(config)
+    model, split = load_model(path), f"{config['paths']['processed_data_dir']}/test"
+    decoding = K.DecodingConfig(**{k: eval_of(k, d) for k, d in vars(K.DecodingConfig()).items()})
+    decoding = replace(decoding, max_new_tokens=min(decoding.max_new_tokens, model.config.max_seq_len - 1), beam_size=1 if args.decode == "greedy" else decoding.beam_size)
+    sizes = replace(K.EncodingConfig(), max_seq_len=model.config.max_seq_len)
+    found = stages.evaluate(corpus.numbered_pairs(spark, split), sentencepiece_encoder(tokenizer), model, sentencepiece_detokeniser(tokenizer), decoding, sizes, args.limit)
+    target = eval_of("outputs.translations_tsv", "reports/translations/test_translations.tsv")
+    sinks.write_translations(found, target)
+    # Decoding is dear, so what was written is what is scored.
+    kept = sinks.read_translations(spark, target, found.schema)
+    bleu, chrf = stages.scores(kept)
+    samples = kept.orderBy("index").limit(eval_of("num_sample_translations", 100)).collect()
+    sinks.write_lines(eval_of("outputs.samples_md", "reports/translations/sample_translations.md"), reports.samples_report([r.asDict() for r in samples]))
+    settings = vars(decoding) | {"decode": args.decode, "checkpoint": path, "test_split": split}
+    sinks.write_json(reports.metrics(bleu, chrf, settings, kept.count()), eval_of("outputs.metrics_json", "reports/eval_metrics.json"), sort=True)
+
+
+STAGES = {"audit": ("stage1_audit", run_audit), "clean": ("stage2_cleaning", run_clean), "tokenizer": ("stage3_tokenizer", run_tokenizer), "evaluate": ("stage7_eval", run_evaluate)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -72,7 +97,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keep-uncertain", action="store_true")
     p.add_argument("--resume", action="store_true")
     p.add_argument("--tokenizer", help="a SentencePiece model")
-    p.add_argument("--checkpoint", help="translate: a model other than the configured one")
+    p.add_argument("--limit", type=int, help="evaluate: the first rows alone")
+    p.add_argument("--checkpoint", help="translate, evaluate: a model other than the configured one")
     p.add_argument("--text", help="translate: the text; without it, standard input")
     p.add_argument("--interactive", action="store_true")
     p.add_argument("--decode", choices=("beam", "greedy"), default="beam")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def length_encoder(unknown: str | None = None) -> Encoder:
 
 def sentencepiece_encoder(model_path: str) -> Encoder:
     """Encodes with a SentencePiece model, loaded once in each Python worker."""
-    import pandas as pd
-
     loaded: dict = {}
 
     @F.pandas_udf("array<int>")
@@ -44,6 +43,21 @@ def sentencepiece_encoder(model_path: str) -> Encoder:
     return lambda c: encode(c)
 
 
+def sentencepiece_detokeniser(model_path: str) -> Callable[[Column], Column]:
+    """Texts of ids by a SentencePiece model, loaded once in each Python worker."""
+    loaded: dict = {}
+
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
+        if model_path not in loaded:
+            import sentencepiece
+
+            loaded[model_path] = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        return pd.Series([loaded[model_path].decode([int(i) for i in row]) for row in ids], dtype=object)
+
+    return lambda c: decode(c)
+
+
 def sides(pairs: DataFrame) -> DataFrame:
     """Both texts of each pair as rows: the pair's columns, ``side`` (0 source, 1 target) and ``sentence``."""
     return pairs.select("*", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("pl").alias("sentence")), F.struct(F.lit(1).alias("side"), F.col("en").alias("sentence")))))

@@ -44,19 +44,31 @@ def stringified(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-def scan_pairs(spark: SparkSession, path: str, source: str = "pl", target: str = "en") -> DataFrame:
-    """Pairs of a raw or a clean split, whichever its schema shows: ``row_index, pl, en``; nulls are stringified, a missing struct field is empty."""
+def scan_pairs(spark: SparkSession, path: str, source: str = "pl", target: str = "en", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Pairs of a raw or a clean split, whichever its schema shows: ``row_index, pl, en`` and ``keep``; nulls are stringified, a missing struct field is empty."""
     rows = spark.read.parquet(path)
     place = F.col("_metadata.row_index").alias("row_index")
     if {source, target} <= set(rows.columns):
-        return rows.select(place, stringified(F.col(source)).alias("pl"), stringified(F.col(target)).alias("en"))
+        return rows.select(*keep, place, stringified(F.col(source)).alias("pl"), stringified(F.col(target)).alias("en"))
     if "translation" in rows.columns:
         fields = rows.schema["translation"].dataType.fieldNames()
         side = lambda n: stringified(F.col(f"translation.{n}")) if n in fields else F.lit("")
-        return rows.select(place, side(source).alias("pl"), side(target).alias("en"))
+        return rows.select(*keep, place, side(source).alias("pl"), side(target).alias("en"))
     raise ValueError(f"{path} has neither {source} and {target} nor translation")
 
 
+def numbered_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``scan_pairs`` of one file or a folder of files, with ``row_index`` counted on through the files in the order of their names.
+
+    Only a row for each file is gathered.
+    """
+    of = F.col("_metadata.file_path")
+    files = spark.read.parquet(path).select(of.alias("file"), F.col("_metadata.row_index").alias("at")).groupBy("file").agg((F.max("at") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.select("file", before.alias("before"))
+    return scan_pairs(spark, path, keep=(of.alias("file"),)).join(starts, "file").select((F.col("row_index") + F.col("before")).alias("row_index"), "pl", "en")
+
+
 def limited(rows: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` rows by place."""
     return rows if n is None else rows.where(F.col("row_index") < n)

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_clean(rows: DataFrame, path: str, one_file: bool = False) -> None:
@@ -53,8 +54,17 @@ def write_corpus(pairs: DataFrame, path: str) -> int:
     return 2 * pairs.count()
 
 
+#: Quotes are doubled and white space at the ends of texts stays, so that what was written can be read back.
+TSV = {"sep": "\t", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_translations(rows: DataFrame, path: str) -> None:
-    rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").options(**TSV).csv(path)
+
+
+def read_translations(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``write_translations`` wrote; empty texts, which the format does not tell from nulls, are empty."""
+    return spark.read.options(**TSV, multiLine=True).schema(schema).csv(path).fillna("")
 
 
 def write_json(data: dict[str, Any], path: str | Path, sort: bool = False) -> None:

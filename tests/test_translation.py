@@ -1,4 +1,5 @@
 import io
+import json
 
 import numpy as np
 import pytest
@@ -7,6 +8,9 @@ from lingweave import cli, config as K
 from lingweave.operators import transformer as T
 from lingweave.operators.decoding import TableScorer
 from lingweave.plans import translation as L
+from lingweave.sources import sinks
+
+T_ROWS = "index long, source_pl string, reference_en string, hypothesis_en string"
 
 
 class Letters:
@@ -79,3 +83,26 @@ def test_command(tmp_path, monkeypatch, capsys):
     monkeypatch.setattr("sys.stdin", io.StringIO("ab\nabc\n"))
     cli.main(["translate", "--config", str(tmp_path / "c.yaml"), "--checkpoint", str(tmp_path / "m.npz"), "--interactive", "--decode", "greedy"])
     assert capsys.readouterr().out.count("\n") == 2
+
+
+def test_evaluation_command(spark, tmp_path):
+    model = "/opt/tokenizers/piece_bpe_32k.model"
+    sentencepiece = pytest.importorskip("sentencepiece")
+    size = sentencepiece.SentencePieceProcessor(model_file=model).get_piece_size()
+    T.save_model(T.Transformer(T.ModelConfig(size, size, d_model=8, nhead=2, encoder_layers=1, decoder_layers=1, feedforward=8, max_seq_len=16)), str(tmp_path / "m.npz"))
+    spark.createDataFrame([("ala", "alice"), ("pies", "dog"), ("kot", "cat")], "pl string, en string").repartition(3).write.parquet(str(tmp_path / "clean/test"))
+    (tmp_path / "c.yaml").write_text(f"""
+paths: {{processed_data_dir: {tmp_path}/clean}}
+stage7_eval: {{enabled: true, beam_size: 2, max_new_tokens: 99, num_sample_translations: 2, outputs: {{metrics_json: {tmp_path}/m.json, translations_tsv: {tmp_path}/t, samples_md: {tmp_path}/s.md}}}}
+""")
+    cli.main(["evaluate", "--config", str(tmp_path / "c.yaml"), "--checkpoint", str(tmp_path / "m.npz"), "--tokenizer", model])
+    found = json.loads((tmp_path / "m.json").read_text())
+    assert found["rows"] == 3 and found["decoding"]["max_new_tokens"] == 15 and 0 <= found["chrf"] <= 100
+    assert (tmp_path / "s.md").read_text().count("## ") == 2
+    assert sorted(r[0] for r in sinks.read_translations(spark, str(tmp_path / "t"), T_ROWS).collect()) == [0, 1, 2]
+
+
+def test_translations_can_be_read_back(spark, tmp_path):
+    rows = [(0, ' a "b" ', "x\ty", "two\nlines\\"), (1, "", '"', "\\"), (2, "ż", "'", ' "" ')]
+    sinks.write_translations(spark.createDataFrame(rows, T_ROWS), str(tmp_path / "t"))
+    assert sorted(map(tuple, sinks.read_translations(spark, str(tmp_path / "t"), T_ROWS).collect())) == rows
