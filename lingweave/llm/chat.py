@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import checkpointed, quoted
+from .common import checkpointed, discard_path, quoted, scratch_path
 
 #: The template's control strings and how they are written inside texts.
 TURN_START, ROLE_END, TURN_END = "### ", ": ", "</turn>\n"
@@ -40,34 +41,61 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+class Steps:
+    """The rows that an iteration adds, one folder of Parquet a step below one path of the shared folder.
+
+    However many steps there were, reading them is one scan of a plan (a union of them all grows with each step, and with it what the driver holds), and a condition
+    on ``step`` and the ``parts`` columns picks folders.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, first: DataFrame, *parts: str):
+        self.spark, self.path, self.parts, self.schema, self.size = spark, scratch_path(spark, name), parts, first.schema, 0
+        self.columns = [c for c in first.columns if c not in parts]
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.partitionBy(*self.parts).parquet(f"{self.path}/step={self.size}")
+        self.size += 1
+
+    def read(self, which: Column | None = None) -> DataFrame:
+        rows = self.spark.read.schema(StructType([*self.schema, StructField("step", IntegerType())])).parquet(self.path)
+        return (rows if which is None else rows.where(which)).select(*self.columns)
+
+    def discard(self) -> None:
+        discard_path(self.spark, self.path)
+
+
 def paths(messages: DataFrame, top_k: int | None = 1) -> DataFrame:
     """The ``top_k`` best root-to-leaf paths (None: all) of each tree in ``tree, node, parent, score``: ``tree, leaf, rank, node, up`` (steps from the leaf up)."""
+    spark = messages.sparkSession
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     jump = nodes.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
     # The node one step up (null above the root) and the sum of scores of the nodes passed.
-    jump = checkpointed(jump.select("tree", "node", F.col("n").alias("up"), "score"))
-    largest = jump.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jump = jump.select("tree", "node", F.col("n").alias("up"), "score")
+    jumps = Steps(spark, "jumps", jump.withColumn("done", F.col("up").isNull()), "done")
+    largest = jumps.read().groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     # Only nodes whose jump has not yet passed the root go on; on a cycle that never happens, and the length ends it.
-    going, arrived, length = jump.where("up is not null"), jump.where("up is null"), 1
-    jumps = [going]
+    last, length = 0, 1
     while length < largest:
-        at = going.union(arrived).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"))
+        at = jumps.read(F.col("done") | (F.col("step") == last)).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"))
+        going = jumps.read((F.col("step") == last) & ~F.col("done"))
         joined = going.join(at, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
-        longer = checkpointed(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score")))
-        going, arrived, length = longer.where("up is not null"), arrived.union(longer.where("up is null")), 2 * length
-        jumps.append(going)
-    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
-    leaves = arrived.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score")
+        longer = joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"))
+        jumps.add(longer.withColumn("done", F.col("up").isNull()))
+        last, length = last + 1, 2 * length
+    parents = jumps.read((F.col("step") == 0) & ~F.col("done")).select("tree", F.col("up").alias("node")).distinct()
+    leaves = jumps.read(F.col("done")).join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if top_k is not None:
         ranked = ranked.where(F.col("rank") <= top_k)
-    found = ranked.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(jumps))):
-        step = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"))
-        higher = found.join(step, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
-        found = checkpointed(found.union(higher))
-    return found
+    found = Steps(spark, "paths", ranked.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
+    for k in reversed(range(last + 1)):
+        hop = jumps.read((F.col("step") == k) & ~F.col("done")).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"))
+        higher = found.read().join(hop, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
+        found.add(higher.select("tree", "leaf", "rank", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up")))
+    jumps.discard()
+    return found.read()
 
 
 def format_trees(messages: DataFrame, tree_col: str = "tree", node_col: str = "node", parent_col: str = "parent", role_col: str = "role", text_col: str = "text", score_col: str | None = "score", top_k: int | None = 1, loss_role: str = "assistant") -> DataFrame:

@@ -56,9 +56,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``stored`` wrote, once nothing that is still to run reads them."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        discard_path(df.sparkSession, df.scratch)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

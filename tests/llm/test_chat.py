@@ -47,3 +47,17 @@ def test_query_digests(spark):
     assert mine.n_turns == 2 and mine.loss_chars == len(text) and mine.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert mine.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count() + 1
+
+
+def test_plans_do_not_grow_with_the_jumps(spark):
+    n = 300
+    chain = spark.range(n).select(F.lit("d").alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(1.0).alias("score"))
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {ran().apply(i).executionId() for i in range(ran().size())}
+    assert chat.paths(chain).count() == n
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [ran().apply(i).physicalPlanDescription().split("\n\n")[0] for i in range(ran().size()) if ran().apply(i).executionId() not in before]
+    # The final plan alone, where a plan was changed as it ran.
+    scans = [p.split("+- == Initial Plan ==")[0].count("Scan ") for p in plans]
+    assert len(plans) > 18 and max(scans) <= 2
