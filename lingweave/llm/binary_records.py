@@ -80,18 +80,18 @@ def file_system(path: str):
 
 
 class SpacelessEncoder:
-    """Encodes with the tokenizers library, which drops white space here, and remembers what it made of each piece between spaces."""
+    """Encodes with the tokenizers library, which drops white space here, and remembers what it made of each part of a word."""
 
     def __init__(self, tokenizer_path: str, end_id: int, room: int = 320 << 20):
         from tokenizers import Tokenizer
 
         from .pieces import LibraryParts, SpacelessPieces
 
-        sizes = Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True)
-        self.width = 2 if sizes <= 1 << 16 else 4
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         kind = "H" if self.width == 2 else "I"
-        library = LibraryParts(tokenizer_path, lambda ids: array(kind, ids).tobytes(), room // 4)
-        self.pieces = SpacelessPieces(library.ids, room // 4 * 3, library.folds and all("<" in s for s in library.specials))
+        library = LibraryParts(tokenizer_path, lambda ids: array(kind, ids).tobytes(), room // 2, tokenizer)
+        self.pieces = SpacelessPieces(library, room // 2)
         self.end = array(kind, [end_id]).tobytes()
 
     def encode(self, text: str) -> bytes:

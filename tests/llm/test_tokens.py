@@ -54,6 +54,42 @@ def test_encoders_equal_the_library_on_random_texts(libraries):
         assert np.frombuffer(spaceless.encode(t), np.uint16).tolist() == [*ids_of(word, t), 1]
 
 
+def test_words_are_encoded_once_whatever_stands_beside_them(libraries, monkeypatch):
+    import numpy as np
+
+    made, missing = [], pieces.Memory.__missing__
+    monkeypatch.setattr(pieces.Memory, "__missing__", lambda self, key: made.append(key) or missing(self, key))
+    spaceless = binary_records.SpacelessEncoder(WORD, 1)
+    words, marks = ["Haus", "élan", "tree", "señor", "über"], [".", ",", "!", ";", "###", ")", "...", "%"]
+    for w in words:
+        for m in marks:
+            text = f"{w}{m} {w.upper()}\n{m}{w.title()}"
+            assert np.frombuffer(spaceless.encode(text), np.uint16).tolist() == [*ids_of(libraries[1], text), 1]
+    assert len(made) <= len(words) + len(marks)
+
+
+def test_spaceless_encoder_equals_the_library_on_all_early_characters(libraries):
+    import numpy as np
+
+    spaceless = binary_records.SpacelessEncoder(WORD, 1)
+    for c in [*map(chr, range(0x600)), "’", "“", "\u2028", "\u3000", "Ⱥ", "Ⱦ", "ẞ", "中", "😀", "ﬁ", "K"]:
+        for text in (f"a{c}b Cd{c}'s {c}1{c}{c}\n{c}", f"it's {c} x", c, f" {c}", "я" * 200 + f" {c}a{c}", f"a{c} b c{c}É “d{c}” e"):
+            assert np.frombuffer(spaceless.encode(text), np.uint16).tolist() == [*ids_of(libraries[1], text), 1], (c, text)
+
+
+def test_patterns_are_spelt_out_or_left():
+    import re
+
+    import regex
+
+    known = [chr(c) for c in range(0x500)]
+    for pattern in (r"[\p{L}]+|[^\s\p{N}\]]", r"\p{Lu}\p{^L}|\s(?=x)|'s", r"[\^\p{P}]+|\n"):
+        for a in known:
+            for text in (a, f"a{a}]", f"X{a}x"):
+                assert re.findall(pieces.spelt_out(pattern), text) == regex.findall(pattern, text), (pattern, text)
+    assert [pieces.spelt_out(p) for p in (r"\p{Greek}", r"\S+", r"(?i:'s)", r"[a[b]]", r"\P{L}", r"\w")] == [None] * 6
+
+
 def test_memory_keeps_keys_in_use():
     made = []
     memory = pieces.Memory(lambda k: made.append(k) or k, 4 * (pieces.Memory.ENTRY + 2 * sys.getsizeof(1)))
