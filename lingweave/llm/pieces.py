@@ -85,7 +85,8 @@ class SpaceLedPieces:
 LATEST_AGREED = "\u0500"
 #: Up to here characters are their own NFC form and fold to lower case alike everywhere.
 LATEST_PLAIN = "\u024f"
-_FAR = re.compile(f"[^\0-{LATEST_PLAIN}]")
+#: From the first character beyond to the last one of the words with such characters that stand side by side.
+_FAR = re.compile("F(?:N*+(?: N*+)?F)*+".replace("F", f"[^\0-{LATEST_PLAIN}]").replace("N", f"[\0-\x1f!-{LATEST_PLAIN}]"))
 
 
 class LibraryParts:
@@ -163,13 +164,9 @@ class SpacelessPieces:
     """For tokenizers that drop all white space: words between spaces and newlines are independent.
 
     If the tokenizer lower-cases, whole texts of characters up to ``LATEST_PLAIN`` are folded and cut into parts at once, so that a word costs one call of the model
-    whatever stands beside it; a word with any other character is looked up by itself, and so are all words of a text with a special string or (as it is faster) of one
-    that starts with many such characters.
+    whatever stands beside it; a word with any other character is looked up by itself, and so are all words of a text with a special string.
     """
 
-    #: Parameter: how many characters are looked at first, and how many others among them make a text go word by word.
-    START, MANY = 1000, 100
-
     def __init__(self, library: LibraryParts, room: int = 48 << 20):
         own = spelt_out(library.pattern) if library.folds else None
         self.cut = re.compile(own).findall if own else None
@@ -177,14 +174,14 @@ class SpacelessPieces:
 
     def values(self, text: str) -> list[Any]:
         spread = text.replace("\n", " ")
-        if not self.cut or any(s in text for s in self.specials) or not text.isascii() and len(_FAR.findall(spread, 0, self.START)) > self.MANY:
+        if not self.cut or any(s in text for s in self.specials):
             return [*map(self.words.__getitem__, spread.split(" "))]
         found, at = [], 0
         while far := None if text.isascii() else _FAR.search(spread, at):
             start, end = spread.rfind(" ", at, far.start()) + 1 or at, spread.find(" ", far.end())
             found += self._plain(spread[at:start])
             at = end if end >= 0 else len(spread)
-            found.append(self.words[spread[start:at]])
+            found += map(self.words.__getitem__, spread[start:at].split(" "))
         found += self._plain(spread[at:])
         return found
 
